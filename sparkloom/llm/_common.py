@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values of a string column have about ``most`` bytes together (one row at least)."""
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(values).to_numpy(zero_copy_only=False), dtype=float))
+    sizes = np.nan_to_num(np.asarray(pc.binary_length(values).to_numpy(zero_copy_only=False), dtype=float))
     begin, total = 0, 0.0
     for i, n in enumerate(sizes):
         if total and total + n > most:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import mixing
+from sparkloom.llm import exact_dedup, language_id, mixing
 
-QUERIES = {"op10_mixing": mixing.op10_mixing}
-SQL = {"op10_mixing": mixing.SQL}
+QUERIES = {
+    "op4_language_id": language_id.op4_language_id,
+    "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op10_mixing": mixing.op10_mixing,
+}
+SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
