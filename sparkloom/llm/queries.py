@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, language_id, mixing, sentencepiece_codec, token_counts
+from sparkloom.llm import exact_dedup, language_id, mixing, sentencepiece_codec, token_counts, topk_search
 
 QUERIES = {
+    "op1_topk": topk_search.op1_topk,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_topk": topk_search.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
