@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, language_id, mixing, sentencepiece_codec, token_counts, topk_search
+from sparkloom.llm import exact_dedup, language_id, mixing, sentencepiece_codec, token_counts, topk_search, zip_warc
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
+    "op3_warc": zip_warc.op3_warc,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op1_topk": topk_search.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_topk": topk_search.SQL, "op3_warc": zip_warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
