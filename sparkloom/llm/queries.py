@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, language_id, mixing, ppm_scoring, sentencepiece_codec, token_counts, topk_search, zip_warc
+from sparkloom.llm import exact_dedup, jaccard_join, language_id, mixing, ppm_scoring, sentencepiece_codec, token_counts, topk_search, zip_warc
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_jaccard": jaccard_join.op8_jaccard,
     "op9_ppm": ppm_scoring.op9_ppm,
     "op10_mixing": mixing.op10_mixing,
 }
