@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import exact_dedup, jaccard_join, language_id, mixing, ppm_scoring, sentencepiece_codec, token_counts, topk_search, zip_warc
+from sparkloom.llm import exact_dedup, jaccard_join, language_id, mixing, ppm_scoring, sentencepiece_codec, substring_dedup, token_counts, topk_search, zip_warc
 
 QUERIES = {
     "op1_topk": topk_search.op1_topk,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_warc": zip_warc.op3_warc,
     "op4_language_id": language_id.op4_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_ppm": ppm_scoring.op9_ppm,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op1_topk": topk_search.SQL, "op3_warc": zip_warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_topk": topk_search.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_warc": zip_warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
