@@ -1 +1 @@
-
+"""Relational and retrieval operators: DataFrames in, DataFrames out."""

@@ -1 +1 @@
-
+"""Incremental indexing as a stream."""
