@@ -46,7 +46,7 @@ class CoverTree:
         self.first.append(a), self.last.append(b), self.centre.append(centre), self.radius.append(float(dist.max())), self.children.append([])
         if b - a <= leaf or dist.max() == 0:
             return me
-        rows = self.order[a:b]
+        rows = self.order[a:b].copy()
         x = self.points[rows]
         while True:
             scale /= BASE
