@@ -18,7 +18,7 @@ from sparkloom.llm._common import pick, written
 
 #: Rows of a reference block and of a query block, about; centres that deal vectors to blocks; tree parameters.
 BLOCK, QUERY_BLOCK, MAX_CENTRES, SAMPLE = 4096, 1024, 256, 20_000
-LEAF, BASE = 48, 2.0
+LEAF, BASE = 48, 1.25
 
 
 class CoverTree:
@@ -52,7 +52,7 @@ class CoverTree:
             scale /= BASE
             # a greedy net: the parent's centre first, then the farthest point that no centre covers yet
             near, which, centres, by = dist.copy(), np.zeros(b - a, int), [centre], [dist]
-            while len(centres) <= max(2, (b - a) // 4):
+            while len(centres) <= max(2, (b - a) // 3):
                 far = int(near.argmax())
                 if near[far] <= scale:
                     break
