@@ -53,7 +53,7 @@ def central_directory(read_at, size: int) -> list[Member]:
     tail_at = max(0, size - (22 + 65535 + 20))
     tail = read_at(tail_at, size - tail_at)
     at = tail.rfind(b"PK\x05\x06")
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] > len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(b"PK\x05\x06", 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
