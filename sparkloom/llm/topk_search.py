@@ -220,7 +220,7 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, que
                     # scores below what a query has already cannot enter; equal ones can, by a smaller id
                     best[:] = np.array(row.q_worst)[:, None] - 0.5
                 dual_search(q, r, ids, own, best, best_id)
-                i, j = np.nonzero(best_id < np.iinfo(np.int64).max)
+                i, j = np.nonzero((best_id < np.iinfo(np.int64).max) & (best > -np.inf))
                 if len(i):
                     yield pd.DataFrame({"q": row.q, "query_id": own[i], "vec_id": best_id[i, j], "score": best[i, j].astype(np.int64)})
 
