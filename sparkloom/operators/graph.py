@@ -148,7 +148,7 @@ def file_map(edges: DataFrame, symbols: DataFrame, limit: int = 150) -> tuple[Da
     return files.orderBy(F.desc("degree"), "file_path").limit(limit), pairs
 
 
-def resolve(symbols: DataFrame, names: DataFrame, kinds: tuple[str, ...] = ("function", "method", "arrow", "callback", "test")) -> DataFrame:
+def resolve(symbols: DataFrame, names: DataFrame, kinds: tuple[str, ...] = ("function", "arrow_function", "method", "test", "module")) -> DataFrame:
     """name, symbol_id, ambiguous: the callables that a name stands for: an id, else a short or qualified name; a class
     stands for its methods but the constructor."""
     by_id = names.join(symbols, names["name"] == symbols["symbol_id"]).select(names["name"], "symbol_id", "kind")
