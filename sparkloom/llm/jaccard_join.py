@@ -29,6 +29,10 @@ from sparkloom.llm._words import mix, shingle_sets
 WIDTH, PERCENT = 5, 80
 #: Members of a group that one task compares with as many others.
 CHUNK = 2048
+#: Partners of a document in another component that are tried before all others are.
+NEAREST = 8
+#: Documents whose signatures are counted to see which are common, and keys kept of those.
+SAMPLE, MAX_COMMON = 10_000, 500_000
 #: Up to so many ids, a filter by ids is broadcast; beyond it, it is a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -63,9 +67,9 @@ def n_blocks(band: int) -> int:
     return 1 << 16 if band < 6 else 1 << band if band < 9 else 3 << (band - 2)
 
 
-def sketch(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+def sketch(shingles: np.ndarray, band: int, blocks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(non-empty blocks in order, XOR of the shingles' hashes in each)."""
-    m = n_blocks(band)
+    m = blocks or n_blocks(band)
     block = ((mix(shingles, 2) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     order = np.argsort(block, kind="stable")
     block = block[order]
@@ -73,22 +77,40 @@ def sketch(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
     return block[first], np.bitwise_xor.reduceat(mix(shingles, 3)[order], first)
 
 
-def signatures(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
-    """(band, join keys) for each band of a set."""
+def all_signatures(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
+    """(band, join keys of all non-empty blocks) for each band of a set."""
     out = []
-    need = Bounds(percent).reach(len(shingles)) + 1
     for band in bands(len(shingles), percent):
         block, parity = sketch(shingles, band)
-        if len(block) < need:
+        out.append((band, mix(parity ^ mix(block, 100 + band), 4)))
+    return out
+
+
+def signatures(shingles: np.ndarray, percent: int = PERCENT, common: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, np.ndarray]]:
+    """(band, join keys) for each band of a set: as many as a linked set cannot all spoil.
+
+    Keys are taken in an order that all documents share: those not in ``common`` (sorted keys, their frequencies in
+    a sample) first, then the rarer ones.  Any such order keeps the guarantee; this one avoids passages that many
+    documents hold.
+    """
+    out = []
+    need = Bounds(percent).reach(len(shingles)) + 1
+    for band, keys in all_signatures(shingles, percent):
+        if len(keys) < need:
             raise RuntimeError("a sketch has too few blocks for its guarantee")
-        out.append((band, mix(parity[:need] ^ mix(block[:need], 100 + band), 4)))
+        if common is not None and len(common[0]):
+            at = np.searchsorted(common[0], keys)
+            at[at == len(common[0])] = 0
+            keys = keys[np.lexsort((keys, np.where(common[0][at] == keys, common[1][at], 0)))]
+        out.append((band, keys[:need]))
     return out
 
 
 def low_bytes(shingles: np.ndarray, band: int) -> np.ndarray:
     """One byte of every block's XOR: a short sketch whose distances are lower bounds as well."""
-    out = np.zeros(n_blocks(band), np.uint8)
-    block, parity = sketch(shingles, band)
+    m = n_blocks(band) if band >= 6 else 256
+    block, parity = sketch(shingles, band, m)
+    out = np.zeros(m, np.uint8)
     out[block] = (parity & np.uint64(255)).astype(np.uint8)
     return out
 
@@ -117,12 +139,36 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
 
+def common_signatures(docs: DataFrame, percent: int = PERCENT, sample: int = SAMPLE, most: int = MAX_COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, frequencies) of the signatures that occur three times or more in a bounded sample of documents.
+
+    The sample is the ``sample`` documents with the smallest hashed ids; at most ``most`` keys come back.  They decide
+    the order of signatures and nothing else.
+    """
+
+    def emit(batches):
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                keys = [k for s in _sets(batch.column(0).to_pylist()) if len(s) for _, k in all_signatures(s, percent)]
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["sig"])
+
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(sample)
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")  # ``sample`` ids
+    counts = some.mapInArrow(emit, "sig long").groupBy("sig").agg(F.count("*").alias("n")).where("n >= 3")
+    got = counts.orderBy(F.desc("n"), "sig").limit(most).toArrow()
+    keys, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
 def groups_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """sig, band, doc_id, centre: the groups of two or more documents (doc_id, text) that share a signature.
 
     ``centre`` is the group's smallest id.  Signatures are sorted in the shuffle and read as a stream, so a group
     of any size needs no memory.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(common_signatures(docs, percent))  # bounded by MAX_COMMON
 
     def emit(batches):
         schema = pa.schema([("sig", pa.int64()), ("band", pa.int16()), ("doc_id", pa.int64())])
@@ -130,7 +176,7 @@ def groups_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             for batch in slices(whole, "text", 2 << 20):
                 sig, band, owner = [], [], []
                 for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
-                    for b, keys in signatures(s, percent) if len(s) else ():
+                    for b, keys in signatures(s, percent, shared.value) if len(s) else ():
                         sig.append(keys.view(np.int64)), band.append(np.full(len(keys), b, np.int16)), owner.append(np.full(len(keys), doc, np.int64))
                 if sig:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sig, band, owner)], schema=schema)
@@ -203,44 +249,80 @@ def _short_sketches(texts: DataFrame, percent: int) -> DataFrame:
             for batch in slices(whole, "text", 2 << 20):
                 rows = []
                 for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
-                    rows += [(doc, b, len(s), low_bytes(s, b).tobytes() if b >= 6 else b"") for b in (bands(len(s), percent) if len(s) else ())]
+                    rows += [(doc, b, len(s), low_bytes(s, b).tobytes()) for b in (bands(len(s), percent) if len(s) else ())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return texts.mapInArrow(run, "doc_id long, band short, size long, sketch binary")
 
 
+def _cell(role, doc, comp, size, book, most: int | None, rule: Bounds) -> tuple[list[int], list[int], list[bool]]:
+    """(a, b, cut) pairs of a cell that lie in different components and whose sketches allow a link.
+
+    Role 0 are documents outside the group's largest component, role 1 all that they meet.  With ``most``, only the
+    nearest so many of each other component are given, and ``cut`` says that some were left out.
+    """
+    full = np.flatnonzero(role == 1)
+    out_a, out_b, out_cut = [], [], []
+    docs, comps, sizes = doc[full], comp[full], size[full]
+    sketches = np.frombuffer(b"".join([book[i] for i in full]), np.uint8).reshape(len(full), -1)
+    for i in np.flatnonzero(role == 0):
+        n = size[i]
+        at = np.flatnonzero((comps != comp[i]) & rule.sizes(np.minimum(sizes, n), np.maximum(sizes, n)))
+        if not len(at):
+            continue
+        far = np.count_nonzero(sketches[at] != np.frombuffer(book[i], np.uint8), axis=1)
+        near = far <= rule.difference(sizes[at], n)
+        at, far, cut = at[near], far[near], False
+        if most is not None and len(at) > most:
+            order = np.argsort(far, kind="stable")
+            rank = pd.Series(order).groupby(comps[at][order]).cumcount().to_numpy()
+            cut = bool((rank >= most).any())
+            at = at[order[rank < most]]
+        out_a += np.minimum(docs[at], doc[i]).tolist()
+        out_b += np.maximum(docs[at], doc[i]).tolist()
+        out_cut += [cut] * len(at)
+    return out_a, out_b, out_cut
+
+
 def _compare(most: int | None, percent: int):
-    """Pairs of a cell that lie in different components and whose sketches allow a link; of each minor document the
-    ``most`` nearest to each other component only, if a number is given."""
+    """The pairs of all cells; rows come sorted by cell, and a cell has a bounded number of them."""
     rule = Bounds(percent)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        minor, full = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if not len(minor) or not len(full):
-            return none
-        doc, comp, size = [full[c].to_numpy() for c in ("doc_id", "component", "size")]
-        width = len(full["sketch"].iloc[0])
-        book = np.frombuffer(b"".join(full["sketch"]), np.uint8).reshape(len(full), width) if width else None
-        out_a, out_b = [], []
-        for x, c, n, s in zip(minor["doc_id"], minor["component"], minor["size"], minor["sketch"], strict=True):
-            ok = (comp != c) & rule.sizes(np.minimum(size, n), np.maximum(size, n))
-            at = np.flatnonzero(ok)
-            far = np.count_nonzero(book[at] != np.frombuffer(s, np.uint8), axis=1) if book is not None else np.zeros(len(at), int)
-            near = far <= rule.difference(size[at], n)
-            at, far = at[near], far[near]
-            if most is not None and len(at) > most:
-                order = np.argsort(far, kind="stable")
-                rank = pd.Series(comp[at][order]).groupby(comp[at][order]).cumcount().to_numpy()
-                at = at[order[rank < most]]
-            out_a.append(np.minimum(doc[at], x)), out_b.append(np.maximum(doc[at], x))
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cut", pa.bool_())])
+        held = None
+
+        def pairs(table):
+            key = [table.column(c).to_numpy() for c in range(3)]
+            role, doc, comp, size = [table.column(c).to_numpy() for c in range(3, 7)]
+            book = table.column(7).to_pylist()
+            new = np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])])
+            edge = np.append(np.flatnonzero(new), len(doc)).tolist()
+            a, b, cut = [], [], []
+            for x, y in zip(edge, edge[1:], strict=False):
+                if 0 < role[x:y].sum() < y - x:
+                    for to, got in zip((a, b, cut), _cell(role[x:y], doc[x:y], comp[x:y], size[x:y], book[x:y], most, rule), strict=True):
+                        to += got
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [table.column(c)[table.num_rows - 1].as_py() for c in range(3)]
+            same = np.logical_and.reduce([table.column(c).to_numpy() == v for c, v in enumerate(last)])
+            begin = int(np.argmax(same))  # the last cell may go on in the next batch
+            if begin:
+                yield pairs(table.slice(0, begin))
+            held = table.slice(begin)
+        if held is not None:
+            yield pairs(held)
 
     return run
 
 
 def across(members: DataFrame, labels: DataFrame, texts: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one group in different components that may be linked."""
+    """a, b, cut: pairs of members of one group in different components that may be linked; cut: some were left out."""
     known = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).select("sig", "band", "doc_id", "component")
     known = written(known, "labelled")
     parts = known.groupBy("sig", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
@@ -255,7 +337,9 @@ def across(members: DataFrame, labels: DataFrame, texts: DataFrame, most: int |
     full = rows.select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), cut("nj").alias("j"))
     minor = rows.where("component != major").select("*", F.lit(0).alias("role"), cut("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
     cells = full.unionByName(minor).select("sig", "i", "j", "role", "doc_id", "component", "size", "sketch")
-    return cells.groupBy("sig", "i", "j").applyInPandas(_compare(most, percent), "a long, b long").distinct()
+    cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    pairs = cells.mapInArrow(_compare(most, percent), "a long, b long, cut boolean")
+    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -283,11 +367,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = star.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
     tried = written(star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"), "pairs")
     links = written(verified(tried, some, percent), "verified")
-    for most in (2, None):
+    for most in (NEAREST, None):  # the second time only if some pairs were left out
         labels = written(components(links).select(F.col("node").alias("doc_id"), "component"), "labels")
         more = written(across(members, labels, some, most, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(more)
+        tried = tried.unionByName(more.select("a", "b"))
         links = written(links.unionByName(verified(more, some, percent)), "verified")
+        if not more.where("cut").limit(1).count():
+            break
     final = components(links).withColumnsRenamed({"node": "rep", "component": "_root"})
     by_set = first.join(final, "rep", "left").select("set_key", F.coalesce("_root", "rep").alias("component_id"))
     out = sets.join(by_set, "set_key", "left")
