@@ -73,6 +73,7 @@ def paths(adj: DataFrame, pairs: DataFrame, max_depth: int = 5, limit: int | Non
     """
     back = adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     near = k_hop(back, pairs.select(F.col("target").alias("id")).distinct(), max_depth, "out").select(F.col("start").alias("target"), "id", F.col("distance").alias("_left"))
+    near = cut(near)  # met again at every level
     level = pairs.select("source", "target").distinct().select("source", "target", F.array("source").alias("path"), F.col("source").alias("end"))
     found = level.where("end = target").select("source", "target", "path")
     live = level.where("end != target")
