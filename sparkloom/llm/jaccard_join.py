@@ -106,13 +106,17 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT, common: tuple[np.nd
     return out
 
 
-def low_bytes(shingles: np.ndarray, band: int) -> np.ndarray:
-    """One byte of every block's XOR: a short sketch whose distances are lower bounds as well."""
-    m = n_blocks(band) if band >= 6 else 256
-    block, parity = sketch(shingles, band, m)
-    out = np.zeros(m, np.uint8)
-    out[block] = (parity & np.uint64(255)).astype(np.uint8)
-    return out
+def parity_bits(shingles: np.ndarray, band: int) -> bytes:
+    """The parities of the shingles hashed to each of a band's bits: two of these differ in no more bits than the sets
+    differ in shingles."""
+    bits = max(512, 8 << band)
+    at = ((mix(shingles, 5) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def distances(sketches: np.ndarray, one: bytes) -> np.ndarray:
+    """Differing bits of each row of sketches (as 64-bit words) and one sketch."""
+    return np.bitwise_count(sketches ^ np.frombuffer(one, np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def _sets(texts) -> list[np.ndarray]:
@@ -131,7 +135,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 2 << 20):
                 sets = _sets(batch.column(1).to_pylist())
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=schema)
@@ -249,12 +253,30 @@ def _short_sketches(texts: DataFrame, percent: int) -> DataFrame:
             for batch in slices(whole, "text", 2 << 20):
                 rows = []
                 for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
-                    rows += [(doc, b, len(s), low_bytes(s, b).tobytes()) for b in (bands(len(s), percent) if len(s) else ())]
+                    rows += [(doc, b, len(s), parity_bits(s, b)) for b in (bands(len(s), percent) if len(s) else ())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
     return texts.mapInArrow(run, "doc_id long, band short, size long, sketch binary")
 
 
+def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, band) whose sizes and sketches allow a link."""
+    rule = Bounds(percent)
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            a, b, x, y = [batch.column(i).to_numpy() for i in range(4)]
+            far = np.array([int.from_bytes(p, "little") ^ int.from_bytes(q, "little") for p, q in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], object)
+            far = np.array([n.bit_count() for n in far], np.int64)
+            ok = rule.sizes(np.minimum(x, y), np.maximum(x, y)) & (far <= rule.difference(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], schema=schema)
+
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), "band", F.col("size").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
+    both = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+    return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
 def _cell(role, doc, comp, size, book, most: int | None, rule: Bounds) -> tuple[list[int], list[int], list[bool]]:
     """(a, b, cut) pairs of a cell that lie in different components and whose sketches allow a link.
 
@@ -264,13 +286,13 @@ def _cell(role, doc, comp, size, book, most: int | None, rule: Bounds) -> tuple[
     full = np.flatnonzero(role == 1)
     out_a, out_b, out_cut = [], [], []
     docs, comps, sizes = doc[full], comp[full], size[full]
-    sketches = np.frombuffer(b"".join([book[i] for i in full]), np.uint8).reshape(len(full), -1)
+    sketches = np.frombuffer(b"".join([book[i] for i in full]), np.uint64).reshape(len(full), -1)
     for i in np.flatnonzero(role == 0):
         n = size[i]
         at = np.flatnonzero((comps != comp[i]) & rule.sizes(np.minimum(sizes, n), np.maximum(sizes, n)))
         if not len(at):
             continue
-        far = np.count_nonzero(sketches[at] != np.frombuffer(book[i], np.uint8), axis=1)
+        far = distances(sketches[at], book[i])
         near = far <= rule.difference(sizes[at], n)
         at, far, cut = at[near], far[near], False
         if most is not None and len(at) > most:
@@ -321,7 +343,7 @@ def _compare(most: int | None, percent: int):
     return run
 
 
-def across(members: DataFrame, labels: DataFrame, texts: DataFrame, most: int | None, percent: int) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int | None, percent: int) -> DataFrame:
     """a, b, cut: pairs of members of one group in different components that may be linked; cut: some were left out."""
     known = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).select("sig", "band", "doc_id", "component")
     known = written(known, "labelled")
@@ -330,8 +352,6 @@ def across(members: DataFrame, labels: DataFrame, texts: DataFrame, most: int |
     one = one.groupBy("g", "h", "x").agg(F.min_by(F.struct("sig", "m"), "sig").alias("o")).select("o.sig", "g", F.col("o.m.component").alias("major"), F.col("o.m.c").alias("c"))
     one = one.select("sig", "major", F.ceil(F.col("g") / CHUNK).cast("int").alias("nj"), F.ceil((F.col("g") - F.col("c")) / CHUNK).cast("int").alias("ni"))
     rows = written(known.join(one, "sig"), "open")
-    ids = rows.select("doc_id").distinct()
-    sketches = _short_sketches(_with_ids(texts, ids, "left_semi"), percent)
     rows = rows.join(sketches, ["doc_id", "band"])
     cut = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
     full = rows.select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), cut("nj").alias("j"))
@@ -362,14 +382,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ids = written(members.select("doc_id").distinct(), "candidates")
     some = written(_with_ids(texts, ids, "left_semi"), "texts")
-    size = sets.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    star = members.where("doc_id != centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(size.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(size.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
-    tried = written(star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b"), "pairs")
+    sketches = written(_short_sketches(some, percent).dropDuplicates(["doc_id", "band"]), "sketches")
+    star = members.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.min("band").alias("band"))
+    tried = written(near_enough(star, sketches, percent).distinct(), "pairs")
     links = written(verified(tried, some, percent), "verified")
     for most in (NEAREST, None):  # the second time only if some pairs were left out
         labels = written(components(links).select(F.col("node").alias("doc_id"), "component"), "labels")
-        more = written(across(members, labels, some, most, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = written(across(members, labels, sketches, most, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.unionByName(more.select("a", "b"))
         links = written(links.unionByName(verified(more, some, percent)), "verified")
         if not more.where("cut").limit(1).count():
