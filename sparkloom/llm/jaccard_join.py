@@ -135,7 +135,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary())])
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 sets = _sets(batch.column(1).to_pylist())
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=schema)
@@ -152,7 +152,7 @@ def common_signatures(docs: DataFrame, percent: int = PERCENT, sample: int = SAM
 
     def emit(batches):
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 keys = [k for s in _sets(batch.column(0).to_pylist()) if len(s) for _, k in all_signatures(s, percent)]
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["sig"])
@@ -177,7 +177,7 @@ def groups_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def emit(batches):
         schema = pa.schema([("sig", pa.int64()), ("band", pa.int16()), ("doc_id", pa.int64())])
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 sig, band, owner = [], [], []
                 for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
                     for b, keys in signatures(s, percent, shared.value) if len(s) else ():
@@ -250,7 +250,7 @@ def _short_sketches(texts: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("band", pa.int16()), ("size", pa.int64()), ("sketch", pa.binary())])
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 rows = []
                 for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
                     rows += [(doc, b, len(s), parity_bits(s, b)) for b in (bands(len(s), percent) if len(s) else ())]
@@ -402,3 +402,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of near-duplicates among all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, md5('whole:' || array_to_string(ws, ' ')) FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, other) AS (SELECT a, b FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) AS least FROM r GROUP BY 1) m ON m.doc_id = w.doc_id
+"""

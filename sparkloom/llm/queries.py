@@ -16,4 +16,4 @@ QUERIES = {
     "op9_ppm": ppm_scoring.op9_ppm,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op1_topk": topk_search.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_warc": zip_warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+SQL = {"op1_topk": topk_search.SQL, "op2_substring_dedup": substring_dedup.SQL, "op3_warc": zip_warc.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_jaccard": jaccard_join.SQL, "op10_mixing": mixing.SQL}
