@@ -11,7 +11,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _power(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     """The first n powers of the multiplier and of its inverse."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_MUL, _INV)):
@@ -36,7 +36,7 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray
     space = _SPACE[a] if len(a) else np.zeros(0, bool)
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = _power(len(a) + 1)
+    up, down = powers(len(a) + 1)
     run = np.zeros(len(a) + 1, np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=run[1:])
     name = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))

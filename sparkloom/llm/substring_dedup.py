@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm._common import pick, slices, written
-from sparkloom.llm._words import mix, window_names, words
+from sparkloom.llm._words import mix, powers, window_names, words
 
 WINDOW, ROUNDS = 50, 5
 #: Every how many rounds runs are named.
@@ -94,7 +94,7 @@ def levels(name: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> list[Lev
 
 
 def representatives(name: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(start of each full window, key of its representative)."""
+    """(start of each full window, key of its representative and the words that decided on it)."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     n = len(name)
     full = np.zeros(n, bool)
@@ -103,6 +103,9 @@ def representatives(name: np.ndarray, first: np.ndarray, window: int = WINDOW, r
     start = np.flatnonzero(full)
     key = np.zeros(len(start), np.uint64)
     todo = np.arange(len(start))
+    up, down = powers(n + 1)
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(name * up[:n], out=run[1:])
     for level, x in reversed(list(enumerate(levels(name, text, rounds)))):
         ok = (x.low >= 0) & (x.high < 1 << 60) & (x.high - x.low <= window)
         low, high, rank = x.low[ok], x.high[ok], mix(x.name[ok], 30 + level)
@@ -116,7 +119,9 @@ def representatives(name: np.ndarray, first: np.ndarray, window: int = WINDOW, r
         if not len(hit):
             continue
         best = _range_argmin(rank, a, b)
-        key[hit] = mix(rank[best] + np.uint64(level), 40)
+        # the deciding words are the same in equal windows: with them the key tells much more than the symbol alone
+        span = (run[high[best]] - run[low[best]]) * down[low[best]]
+        key[hit] = mix(rank[best] + mix(span + np.uint64(level), 41), 40)
         todo = todo[~some]
     return start, key
 
