@@ -155,7 +155,7 @@ def _keys(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 ids = batch.column(0).to_numpy()
                 name, first, *_ = words([_plain(t) for t in batch.column(1).to_pylist()])
                 start, key = representatives(name, first, window)
@@ -172,7 +172,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())])
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 ids = batch.column(0).to_numpy()
                 name, first, *_ = words([_plain(t) for t in batch.column(1).to_pylist()])
                 start, key = representatives(name, first, window)
@@ -193,7 +193,7 @@ def _result(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
         for batch_ in batches:
-            for batch in slices(batch_, "text"):
+            for batch in slices(batch_, "text", 2 << 20):
                 n, removed, sha = [], [], []
                 for text, whole, starts in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                     found = _plain(text).split()
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def sequence(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 1 << 20):
                 found = [_plain(t).split() for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(b" ".join(w)).digest() if len(w) >= window else None for w in found], pa.binary())], schema=schema)
 
