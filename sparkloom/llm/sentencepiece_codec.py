@@ -23,8 +23,8 @@ from sparkloom.llm._common import pick, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Segments that a worker remembers.
-MEMO = 150_000
+#: Words that a worker remembers, in each of two generations.
+MEMO = 400_000
 
 
 class CharacterMap:
@@ -279,32 +279,67 @@ def _utf8(data: bytes) -> str:
 
 
 class Digester:
-    """ids and decoded text of whole texts through a memory of segments."""
+    """ids and decoded text of whole texts through a memory of words.
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
-        self.memo: dict[str, tuple[str, int, str]] = {}
+    Where single spaces part the words of a text and the model takes characters as they are, a word is looked up by
+    itself: as it stands for one with a space in front, behind a line feed for one at the start of a line.  Other
+    texts are cut into segments first.
+    """
+
+    def __init__(self, codec: Codec, most: int = MEMO):
+        self.codec, self.most = codec, most
+        # key -> ids of the words met lately, and of those met before that
+        self.ids: dict[str, str] = {}
+        self.old_ids: dict[str, str] = {}
+        #: what words decode to that do not decode to themselves
+        self.odd: dict[str, str] = {}
+        self.piece_text: dict[str, str] = {}
+        self.piece_surface: dict[str, str] = {}
+        self.simple = codec.cuts and codec.dummy and codec.escape and not (codec.map.units or codec.squeeze or codec.user) and not any("\n" in p for p in codec.ids)
+
+    def words(self, text: str | None) -> list[str] | None:
+        """The keys of a text's words; None if it needs segments."""
+        if not text:
+            return []
+        if not self.simple or MARK in text or "\0" in text:
+            return None
+        keys = text.replace("\n", " \n").split(" ")
+        return None if "" in keys else keys
 
     def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as decimals joined by commas, decoded text) of each text; null counts as empty."""
         codec = self.codec
-        parts = [codec.segments(codec.plain(t)) if t else [] for t in texts]
-        seen = set().union(*parts) if parts else set()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = [s for s in seen if s not in memo]
-        here = memo
-        if len(memo) + len(new) > MEMO:
-            here = {s: memo[s] for s in seen if s in memo}
-        for s, pieces in zip(new, codec.encode_segments(new), strict=True):
-            ids = [i for p in pieces for i in codec.piece_ids(p)]
-            here[s] = (",".join(map(str, ids)), len(ids), codec.surface(ids))
+        parts = [self.words(t) for t in texts]
+        for k, p in enumerate(parts):
+            if p is None:  # keys of segments are marked with a NUL, which is not a part of them
+                parts[k] = ["\0" + x for x in codec.segments(codec.plain(texts[k]))]
+        new = set().union(*parts) - self.ids.keys()
+        if len(self.ids) + len(new) > self.most:
+            new |= set().union(*parts)
+            self.old_ids, self.ids = self.ids, {}
+        found = new & self.old_ids.keys()
+        self.ids.update(zip(found, map(self.old_ids.__getitem__, found), strict=True))
+        new = list(new - found)
+        whole = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else MARK + k for k in new]
+        text, surface = self.piece_text, self.piece_surface
+        for key, segment, pieces in zip(new, whole, codec.encode_segments(whole), strict=True):
+            for p in pieces:
+                if p not in text:
+                    ids = codec.piece_ids(p)
+                    text[p], surface[p] = ",".join(map(str, ids)), codec.surface(ids)
+            self.ids[key] = ",".join([text[p] for p in pieces])
+            decoded = "".join([surface[p] for p in pieces])
+            if decoded != segment.replace(MARK, " "):
+                self.odd[key] = decoded
         out = []
-        for p in parts:
-            rows = list(map(here.__getitem__, p))
-            ids = ",".join([r[0] for r in rows])
-            out.append((sum([r[1] for r in rows]), ids, codec.trim("".join([r[2] for r in rows]))))
+        for t, p in zip(texts, parts, strict=True):
+            ids = ",".join(map(self.ids.__getitem__, p))
+            if p and p[0][0] == "\0" or self.odd:
+                decoded = "".join([self.odd[k] if k in self.odd else k[1:].replace(MARK, " ") if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in p])
+                decoded = codec.trim(decoded)
+            else:
+                decoded = t or ""  # every word decodes to itself and the space in front of it
+            out.append((ids.count(",") + 1 if ids else 0, ids, decoded))
         return out
 
 
