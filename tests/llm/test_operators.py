@@ -195,3 +195,19 @@ def test_ppm(docs_of):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n_all + len(c) + 1)) for x in w))
         assert r["score"] == pytest.approx(plain.code(w, learn=False))
     assert ppm_scoring.score_texts(docs_of([])).count() == 0
+
+
+def test_ppm_keeps_every_context(docs_of):
+    import inspect
+    import zlib
+
+    # no size of the trie is a parameter, and rare grams beyond the table that workers hold are joined
+    assert not hasattr(ppm_scoring, "MAX_EDGES") and "max_edges" not in inspect.signature(ppm_scoring.score_texts).parameters
+    rows = [(i, " ".join(f"w{i * k % 97}é{k}" for k in range(1, 30))) for i in range(40)]
+    whole, few = ({r["doc_id"]: r["score"] for r in ppm_scoring.score_texts(docs_of(rows), frequent=9, frequent_grams=n).collect()} for n in (1 << 20, 5))
+    plain = ppm_scoring.Adaptive()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            plain.code(ppm_scoring.tokens(t))
+    assert whole == pytest.approx({i: plain.code(ppm_scoring.tokens(t), learn=False) for i, t in rows})
+    assert few == pytest.approx(whole)
