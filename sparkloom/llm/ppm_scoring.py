@@ -1,8 +1,8 @@
 """Language-model scoring by prediction by partial matching (PPM).
 
-The model is a trie of byte contexts.  A token is coded byte by byte and closed by a space; the contexts are the last
-bytes of the token, of which the space in front is the first, so that the code length of a token depends on the
-token alone and is worked out once.  A byte that a context has not seen costs an escape (method C: as many escapes
+The model is a trie of byte contexts.  A text is coded byte by byte as its lower-cased tokens, each closed by a space,
+and the end; the contexts are the bytes before, over the bounds of words (``across``), of which the space in front of the
+text is the first.  Without ``across`` every token has its own context, which begins with the space in front.  A byte that a context has not seen costs an escape (method C: as many escapes
 as distinct symbols) and is looked for in the next shorter context without the symbols that the longer one excludes;
 below the empty context all remaining bytes are equally likely.
 
@@ -70,18 +70,18 @@ def gram_keys(data: np.ndarray, at: np.ndarray, depth: np.ndarray, order: int) -
     return (used << 48 | context) << 8 | data[at]
 
 
-def text_grams(found: list[list[bytes]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, text) of every symbol of texts that are given as tokens; every word and the end has its own context."""
+def text_grams(found: list[list[bytes]], order: int = ORDER, across: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, text) of every symbol of texts that are given as tokens."""
     streams = [b" " + b" ".join(w) for w in found]
     data = np.frombuffer(bytes(order) + b"".join(streams), np.uint8).astype(np.int64)
     sizes = np.fromiter(map(len, streams), np.int64, len(streams))
     place = np.arange(len(data))
-    space = np.maximum.accumulate(np.where(data == 32, place, 0))
     text = np.repeat(np.arange(len(streams)), sizes)
     first = np.zeros(len(data), bool)
     first[order + np.cumsum(sizes) - sizes] = True
     at = np.flatnonzero(~first[order:]) + order
-    return gram_keys(data, at, at - space[at - 1], order), text[at - order]
+    begin = np.maximum.accumulate(np.where(first if across else data == 32, place, 0))
+    return gram_keys(data, at, at - begin[at - 1], order), text[at - order]
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,17 +232,18 @@ class Adaptive:
             excluded |= seen.keys()
         return total - np.log10(256 - len(excluded)) if len(excluded) < 256 else total
 
-    def code(self, words: list[bytes], learn: bool = True) -> float:
-        """Log10 probability of tokens in order; with ``learn``, each is learnt after it is coded."""
-        total = 0.0
+    def code(self, words: list[bytes], learn: bool = True, across: bool = False) -> float:
+        """Log10 probability of tokens in order; with ``learn``, each symbol is learnt after it is coded."""
+        total, context = 0.0, b" "
         for w in words:
             spelt = [END[0]] if w == END else [*w, 32]
-            context = b" "
+            if not across:
+                context = b" "
             for s in spelt:
                 total += self.log10(context, s)
                 if learn:
                     self.learn(context, s)
-                context += bytes([s])
+                context = (context + bytes([s]))[-max(self.order, 1) :]
         return float(total)
 
 
@@ -276,7 +277,7 @@ def token_table(docs: DataFrame) -> DataFrame:
     return docs.select("text", "train").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def gram_table(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def gram_table(docs: DataFrame, order: int = ORDER, across: bool = True) -> DataFrame:
     """gram, n: all grams of ``docs`` (doc_id, text, train boolean) with their counts in training documents (0 if none)."""
 
     def count(batches):
@@ -288,7 +289,7 @@ def gram_table(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
-                grams, text = text_grams([tokens(t) for t in batch.column(0).to_pylist()], order)
+                grams, text = text_grams([tokens(t) for t in batch.column(0).to_pylist()], order, across)
                 use = batch.column(1).to_numpy(zero_copy_only=False)[text]
                 for part, seen in ((grams[use], True), (grams[~use], False)):
                     k, c = np.unique(part, return_counts=True)
@@ -338,12 +339,12 @@ def scored_grams(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return grams.repartition(part).sortWithinPartitions(part).mapInArrow(run, "gram long, n long, lp double")
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, left: int = 2, order: int = ORDER, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, left: int = 2, order: int = ORDER, frequent: int = FREQUENT, frequent_grams: int = FREQUENT_GRAMS, across: bool = False) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A document is held out, and nothing learnt from it, if crc32 of its id as text leaves ``left`` modulo
     ``modulus`` (a null id never does).  ``score`` is the log10 probability that the PPM model gives the tokens of
-    the text and its end; ``base_score`` that of an add-one unigram model of whole tokens.  Null text counts as
+    the text and its end, with contexts that reach over words if ``across``; ``base_score`` that of an add-one unigram model of whole tokens.  Null text counts as
     empty: one token, the end.  Without any training document the trie is empty and every byte costs log10(256).
     An empty table gives an empty result; repeated rows are scored, and counted, each.
 
@@ -357,7 +358,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, left: int = 2, order: int = O
     n_train, size = int(totals[0]), int(totals[1])
     spark = docs.sparkSession
     log_space = float(np.log10(n_train + size + 1))
-    grams = written(scored_grams(written(gram_table(marked, order), "grams"), order), "scored")
+    grams = written(scored_grams(written(gram_table(marked, order, across), "grams"), order), "scored")
 
     def scores(batches):
         schema = pa.schema([("word", pa.binary()), ("known", pa.int64()), ("base", pa.float64())])
@@ -378,7 +379,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, left: int = 2, order: int = O
         for whole in batches:
             for batch in slices(whole, "text", 2 << 20):
                 every = [tokens(text) for text in batch.column(1).to_pylist()]
-                keys, where = text_grams(every, order)
+                keys, where = text_grams(every, order, across)
                 got, hit = table_grams.get(keys)
                 lps = np.bincount(where, got, len(every)).tolist()
                 rare_grams = [[] for _ in every]
@@ -419,11 +420,11 @@ def adaptive_scores(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def run(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Adaptive(order).code(tokens(t)) for t in batch.column(1).to_pylist()], pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([Adaptive(order).code(tokens(t), across=True) for t in batch.column(1).to_pylist()], pa.float64())], schema=schema)
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def op9_ppm(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents."""
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Scores of all documents, with contexts that reach over words."""
+    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), across=True)

@@ -211,3 +211,20 @@ def test_ppm_keeps_every_context(docs_of):
             plain.code(ppm_scoring.tokens(t))
     assert whole == pytest.approx({i: plain.code(ppm_scoring.tokens(t), learn=False) for i, t in rows})
     assert few == pytest.approx(whole)
+
+
+def test_ppm_contexts_reach_over_words(spark, docs_of, tmp_path):
+    import zlib
+
+    rows = [*ROWS, (71, "b a d c b a"), (72, "a b c d"), (73, "d c b a"), (74, "a b"), (75, "b a")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = ppm_scoring.op9_ppm(spark, str(tmp_path)).collect()
+    plain = ppm_scoring.Adaptive()
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            plain.code(ppm_scoring.tokens(t), across=True)
+    want = sorted((str(i), plain.code(ppm_scoring.tokens(t), learn=False, across=True)) for i, t in rows)
+    assert [i for i, _ in want] == sorted(str(r["doc_id"]) for r in got)
+    assert [s for _, s in want] == pytest.approx([s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)])
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert by[72] != pytest.approx(by[73])  # the same words in another order
