@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as X
 from sparkloom.functions.vectors import norm
 from sparkloom.operators import dense, evaluation, fusion, graph, lexical, rerank, versions
+from sparkloom.operators._size import cut
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -478,6 +479,42 @@ def shortest_paths(spark, d):
     return graph.shortest(_paths(spark, d, None)).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query(f"WITH {GRAPH} SELECT dst AS id, src AS caller FROM adj")
+def callers_all(spark, d):
+    """Who points to every node."""
+    nodes, adj = _graph(spark, d)
+    return graph.callers(adj, nodes)
+
+
+@query(f"WITH RECURSIVE {GRAPH}, h(start, id, distance) AS (SELECT id, id, 0 FROM nodes UNION SELECT h.start, nb.dst, h.distance + 1 FROM h JOIN nb ON nb.src = h.id WHERE h.distance < 3) SELECT start, id, min(distance)::INT AS distance FROM h GROUP BY 1, 2")
+def khop_all(spark, d):
+    """Neighbourhoods of three steps around all nodes, either way."""
+    nodes, adj = _graph(spark, d)
+    return graph.k_hop(adj, nodes, 3)
+
+
+ALL_PATHS = PATHS.replace(" WHERE a.id % 25 = 1 AND b.id % 25 = 3", "")
+
+
+def _all_paths(spark, d, limit):
+    """Paths of all pairs; only those that so many steps connect are looked at, as no other has a path."""
+    nodes, adj = _graph(spark, d)
+    pairs = graph.k_hop(adj, nodes, 4, "out").select(F.col("start").alias("source"), F.col("id").alias("target"))
+    return graph.paths(adj, cut(pairs), 4, limit)
+
+
+@query(f"{ALL_PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE n <= 20")
+def bounded_paths_all(spark, d):
+    """Up to twenty simple paths of four edges at most, of all pairs."""
+    return _all_paths(spark, d, 20).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(f"{ALL_PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE len(path) = least")
+def shortest_paths_all(spark, d):
+    """The shortest of them."""
+    return graph.shortest(_all_paths(spark, d, None)).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query(f"WITH RECURSIVE {GRAPH}, r(src, dst) AS (SELECT src, dst FROM adj UNION SELECT r.src, adj.dst FROM r JOIN adj ON adj.src = r.dst) SELECT n.id, least(n.id, coalesce(min(r.dst), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.src, r.dst FROM r JOIN r AS s ON s.src = r.dst AND s.dst = r.src) r ON r.src = n.id GROUP BY n.id")
 def strong_components(spark, d):
     """Nodes that reach each other."""
