@@ -72,11 +72,12 @@ def edge_changes(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return b.join(a, on, "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, on, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def rank_changes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """symbol_id, rank_a, rank_b, delta (null unless both), position."""
-    both = a.select("symbol_id", F.col("rank").alias("rank_a")).join(b.select("symbol_id", F.col("rank").alias("rank_b")), "symbol_id", "full_outer")
+def rank_changes(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The columns ``by`` (those of a query), symbol_id, rank_a, rank_b, delta (null unless both), position among equal ``by``."""
+    by = by or []
+    both = a.select(*by, "symbol_id", F.col("rank").alias("rank_a")).join(b.select(*by, "symbol_id", F.col("rank").alias("rank_b")), [*by, "symbol_id"], "full_outer")
     both = both.withColumn("delta", F.col("rank_a") - F.col("rank_b"))
-    return both.withColumn("position", F.row_number().over(Window.orderBy(F.coalesce("rank_b", F.lit(100)), "symbol_id")))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(F.coalesce("rank_b", F.lit(100)), "symbol_id")))
 
 
 def fold(snippets: DataFrame) -> DataFrame:

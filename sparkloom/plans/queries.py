@@ -415,6 +415,13 @@ def rank_changes(spark, d):
     return versions.rank_changes(cut(_dense), cut(_lexical_labels))
 
 
+@query(f"WITH {DENSE}, a AS (SELECT query_id, doc_id, rank FROM drun WHERE rank <= 20), b AS (SELECT query_id, doc_id, rank FROM lrun WHERE rank <= 20) SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id)::VARCHAR AS symbol_id, a.rank::INT AS rank_a, b.rank::INT AS rank_b, (a.rank - b.rank)::INT AS delta, row_number() OVER (PARTITION BY coalesce(a.query_id, b.query_id) ORDER BY coalesce(b.rank, 100), coalesce(a.doc_id, b.doc_id)::VARCHAR)::INT AS position FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id")
+def rank_changes_all(spark, d):
+    """How the results of all queries moved between two versions."""
+    top = lambda r: lexical.ranked(r(spark, d), 20).select("query_id", F.col("doc_id").cast("string").alias("symbol_id"), "rank")
+    return versions.rank_changes(top(_dense), top(_lexical_labels), ["query_id"])
+
+
 # graph -----------------------------------------------------------------------------------------------------------
 
 
@@ -555,6 +562,14 @@ def operator_evidence(spark, d):
     return q.join(a, "conv_id").select("conv_id", X.operator_evidence(F.col("q"), F.col("a")).alias("evidence"))
 
 
+@query(f"WITH p AS (SELECT conv_id, turn, text, lead(text) OVER w AS answer, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)) SELECT conv_id, turn, {X.operator_evidence_sql('text', 'answer')} AS evidence FROM p WHERE next IS NOT NULL")
+def operator_evidence_turns(spark, d):
+    """Whether the turn after each turn shows an operator that it names."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    p = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("answer"), F.lead("turn").over(w).alias("next"))
+    return p.where("next is not null").select("conv_id", "turn", X.operator_evidence(F.col("text"), F.col("answer")).alias("evidence"))
+
+
 FEATURE = _bm25_sql() + f""", f AS (SELECT run.query_id, run.doc_id, run.score, b.text AS q, dd.text AS t, {X.name_terms_sql('b.text')} AS qs, {X.name_terms_sql('dd.text')} AS ds FROM run JOIN benchmark b ON b.item_id = run.query_id JOIN documents dd ON dd.doc_id = run.doc_id WHERE rank <= 10)
 """
 

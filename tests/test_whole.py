@@ -14,3 +14,21 @@ def test_all_nodes(spark, data, name):
     assert set(part) <= set(whole)
     want = {r["dst"] for r in adj.collect()} if name == "callers" else ids
     assert {r[0] for r in whole} == want
+
+
+def test_rank_changes_by_query(spark):
+    from sparkloom.operators import versions
+
+    a = spark.createDataFrame([(0, "x", 1), (0, "y", 2), (1, "x", 1)], "query_id long, symbol_id string, rank int")
+    b = spark.createDataFrame([(0, "y", 1), (1, "y", 1), (1, "x", 2)], "query_id long, symbol_id string, rank int")
+    got = sorted(tuple(r) for r in versions.rank_changes(a, b, ["query_id"]).collect())
+    assert got == [(0, "x", 1, None, None, 2), (0, "y", 2, 1, 1, 1), (1, "x", 1, 2, -1, 2), (1, "y", None, 1, None, 1)]
+
+
+def test_all_queries_and_turns(spark, data):
+    ids = {r["query_id"] for r in plans._vector_queries(spark, data).collect()}
+    rows = plans.rank_changes_all(spark, data).collect()
+    assert {r["query_id"] for r in rows} == ids
+    assert {tuple(r) for r in plans.rank_changes(spark, data).collect()} == {tuple(r)[1:] for r in rows if r["query_id"] == 0}
+    turns = plans.table(spark, data, "conversations")
+    assert plans.operator_evidence_turns(spark, data).count() == turns.count() - turns.select("conv_id").distinct().count()
