@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids and decoded texts of what is left, as digests."""
+    """SentencePiece ids, decoded texts and spans of what is left, as digests."""
     return sentencepiece_codec.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -283,7 +283,8 @@ class Digester:
 
     Where single spaces part the words of a text and the model takes characters as they are, a word is looked up by
     itself: as it stands for one with a space in front, behind a line feed for one at the start of a line.  Other
-    texts are cut into segments first.
+    texts are cut into segments first.  The spans of a word's pieces are remembered as offsets from its first source
+    byte, and shifted to where the word stands.
     """
 
     def __init__(self, codec: Codec, most: int = MEMO):
@@ -291,6 +292,10 @@ class Digester:
         # key -> ids of the words met lately, and of those met before that
         self.ids: dict[str, str] = {}
         self.old_ids: dict[str, str] = {}
+        # key -> (first byte, end byte) of its ids from the key's own first byte, as little-endian int32
+        self.rel: dict[str, bytes] = {}
+        self.old_rel: dict[str, bytes] = {}
+        self.piece_unit: dict[str, tuple[int, int]] = {}
         #: what words decode to that do not decode to themselves
         self.odd: dict[str, str] = {}
         self.piece_text: dict[str, str] = {}
@@ -306,8 +311,41 @@ class Digester:
         keys = text.replace("\n", " \n").split(" ")
         return None if "" in keys else keys
 
+    def relative(self, pieces: list[str]) -> bytes:
+        """The spans of a segment's ids from its first source byte, where a space mark is one byte."""
+        out, at = [], 0
+        for p in pieces:
+            n, size = self.piece_unit[p]
+            out += (at, at + size) * n
+            at += size
+        return struct.pack(f"<{len(out)}i", *out)
+
+    def spans(self, texts: list[str | None], parts: list[list[str]]) -> list[bytes]:
+        """(first byte, end byte) of every id of each text as little-endian int32, in original UTF-8 bytes."""
+        quick = [self.simple and not (t and MARK in t) for t in texts]
+        keys = [p if q else [] for q, p in zip(quick, parts, strict=True)]
+        per_text = np.fromiter(map(len, keys), np.int64, len(keys))
+        found = [self.rel[k] for p in keys for k in p]
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 8
+        flat, ends = np.frombuffer(b"".join(found), "<i4").reshape(-1, 2), np.cumsum(n)
+        size = flat[ends - 1, 1].astype(np.int64)
+        start = np.cumsum(size) - size
+        first = np.cumsum(per_text) - per_text  # of each text's words
+        base = np.repeat(start[np.minimum(first, len(start) - 1)], per_text) if len(start) else start
+        # the space that normalisation puts in front of a text is no byte of it
+        moved = np.maximum(flat + np.repeat(start - base - 1, n)[:, None], 0).astype("<i4")
+        edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])].tolist()
+        out = [moved[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+        for i in (i for i, q in enumerate(quick) if not q and texts[i]):
+            out[i] = np.array([x[1:] for x in self.codec.spans(texts[i])], "<i4").tobytes()
+        return out
+
     def run(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """(number of ids, ids as decimals joined by commas, decoded text) of each text; null counts as empty."""
+        return self.run_spans(texts)[0]
+
+    def run_spans(self, texts: list[str | None]) -> tuple[list[tuple[int, str, str]], list[bytes]]:
+        """What ``run`` and ``spans`` give."""
         codec = self.codec
         parts = [self.words(t) for t in texts]
         for k, p in enumerate(parts):
@@ -317,8 +355,10 @@ class Digester:
         if len(self.ids) + len(new) > self.most:
             new |= set().union(*parts)
             self.old_ids, self.ids = self.ids, {}
+            self.old_rel, self.rel = self.rel, {}
         found = new & self.old_ids.keys()
         self.ids.update(zip(found, map(self.old_ids.__getitem__, found), strict=True))
+        self.rel.update(zip(found, map(self.old_rel.__getitem__, found), strict=True))
         new = list(new - found)
         whole = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else MARK + k for k in new]
         text, surface = self.piece_text, self.piece_surface
@@ -327,6 +367,8 @@ class Digester:
                 if p not in text:
                     ids = codec.piece_ids(p)
                     text[p], surface[p] = ",".join(map(str, ids)), codec.surface(ids)
+                    self.piece_unit[p] = len(ids), len(p.encode("utf-8", "surrogatepass")) - (len(MARK.encode()) - 1) * p.count(MARK)
+            self.rel[key] = self.relative(pieces)
             self.ids[key] = ",".join([text[p] for p in pieces])
             decoded = "".join([surface[p] for p in pieces])
             if decoded != segment.replace(MARK, " "):
@@ -340,7 +382,7 @@ class Digester:
             else:
                 decoded = t or ""  # every word decodes to itself and the space in front of it
             out.append((ids.count(",") + 1 if ids else 0, ids, decoded))
-        return out
+        return out, self.spans(texts, parts)
 
 
 def _model(path: str) -> bytes:
@@ -349,24 +391,25 @@ def _model(path: str) -> bytes:
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs`` (doc_id, text).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 for every row of ``docs`` (doc_id, text).
 
     The ids are those of the library for the model file at ``path``, without begin and end; the decoded text is the
-    library's for these ids.  Null and empty text have no ids and decode to an empty text.  Every row gives one
+    library's for these ids.  The spans are the original UTF-8 bytes (first, end) that each id covers, digested as
+    little-endian int32 in order.  Null and empty text have no ids and decode to an empty text.  Every row gives one
     row; nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_model(path))  # the model file's size
 
     def run(batches):
         digester = Digester(Codec(shared.value))
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())])
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for whole in batches:
             for batch in slices(whole, "text", 6 << 20):
-                rows = digester.run(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string())], schema=schema)
+                rows, spans = digester.run_spans(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in spans], pa.string())], schema=schema)
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def encode_spans(docs: DataFrame, path: str) -> DataFrame:
@@ -385,7 +428,7 @@ def encode_spans(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Digests of the ids and decoded texts of all documents."""
+    """Digests of the ids, decoded texts and spans of all documents."""
     import public_tokenizers
 
     return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))

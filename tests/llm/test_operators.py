@@ -228,3 +228,21 @@ def test_ppm_contexts_reach_over_words(spark, docs_of, tmp_path):
     assert [s for _, s in want] == pytest.approx([s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)])
     by = {r["doc_id"]: r["score"] for r in got}
     assert by[72] != pytest.approx(by[73])  # the same words in another order
+
+
+def test_sentencepiece_spans(docs_of):
+    import struct
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [*ROWS, (81, " two  spaces "), (82, "a\nb \n\nc"), (83, "né ▁ mark"), (84, "日本語 \U0001f9ff x"), (85, "nul\0 é"), (86, "\n"), (87, " ")]
+    digests = sentencepiece_codec.encode_digests(docs_of(rows), path).collect()
+    spans = sentencepiece_codec.encode_spans(docs_of(rows), path).collect()
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["spans_sha256"]) for r in digests)
+    flat = lambda r: [x for p in zip(r["begins"], r["ends"], strict=True) for x in p]
+    assert got == sorted((str(r["doc_id"]), len(r["ids"]), hashlib.sha256(struct.pack(f"<{2 * len(r['ids'])}i", *flat(r))).hexdigest()) for r in spans)
+    by = {r["doc_id"]: r for r in spans}
+    for i, t in rows:
+        if t and i is not None and i > 80:  # every byte of a text is covered
+            assert by[i]["begins"][0] == 0 and by[i]["ends"][-1] == len(t.encode()) and all(b <= e for b, e in zip(by[i]["begins"][1:], by[i]["ends"], strict=False))
