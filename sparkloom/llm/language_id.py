@@ -82,21 +82,24 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     )
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, doc_chars: int | None = None) -> Model:
     """A model from a bounded sample: of each language the ``sample_docs`` documents with the smallest hashed ids.
 
     ``docs`` needs doc_id, text, lang; rows without text or lang take no part.  Texts of a language beyond
-    ``sample_chars`` characters together are left out, so the driver gets a bounded amount.
+    ``sample_chars`` characters together are left out, so the driver gets a bounded amount.  Texts longer than
+    ``doc_chars`` (a hundredth of ``sample_chars`` if not given) come after all others, the shortest first, so that a
+    language that has no shorter ones is learnt from them; of a text longer than ``sample_chars`` its beginning counts.
     """
     from pyspark.sql import Window
 
     rows = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"), F.length("text").alias("_n")).where(F.col("_n") <= sample_chars // 100)
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"), F.least(F.length("text"), F.lit(sample_chars)).alias("_n"))
+    late = F.when(F.col("_n") > (sample_chars // 100 if doc_chars is None else doc_chars), F.col("_n")).otherwise(0)
+    order = Window.partitionBy("lang").orderBy(late, "_h", "doc_id")
     first = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_docs)
     first = first.withColumn("_sum", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= sample_chars)
     chosen = first.select("doc_id").distinct()
-    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text", "doc_id").collect()  # at most sample_chars a language
+    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", F.substring("text", 1, sample_chars).alias("text"), "doc_id").collect()  # at most sample_chars a language
     return fit([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))])
 
 

@@ -246,3 +246,12 @@ def test_sentencepiece_spans(docs_of):
     for i, t in rows:
         if t and i is not None and i > 80:  # every byte of a text is covered
             assert by[i]["begins"][0] == 0 and by[i]["ends"][-1] == len(t.encode()) and all(b <= e for b, e in zip(by[i]["begins"][1:], by[i]["ends"], strict=False))
+
+
+def test_language_with_long_texts_alone_is_learnt(docs_of):
+    rows = [(i, "the house and the tree", "en", None) for i in range(9)] + [(20 + i, f"das haus und der baum {i} " * n, "de", None) for i, n in enumerate((9, 200))]
+    model = language_id.train(docs_of(rows), sample_chars=1000)
+    assert model.languages == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs_of(rows), model).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+    assert language_id.train(docs_of(rows[:9] + rows[10:]), sample_chars=1000).languages == ["de", "en"]  # longer than the sample
