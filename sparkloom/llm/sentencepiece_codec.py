@@ -300,6 +300,8 @@ class Digester:
         self.odd: dict[str, str] = {}
         self.piece_text: dict[str, str] = {}
         self.piece_surface: dict[str, str] = {}
+        #: pieces that do not decode to themselves
+        self.odd_pieces: set[str] = set()
         self.simple = codec.cuts and codec.dummy and codec.escape and not (codec.map.units or codec.squeeze or codec.user) and not any("\n" in p for p in codec.ids)
 
     def words(self, text: str | None) -> list[str] | None:
@@ -333,7 +335,8 @@ class Digester:
         first = np.cumsum(per_text) - per_text  # of each text's words
         base = np.repeat(start[np.minimum(first, len(start) - 1)], per_text) if len(start) else start
         # the space that normalisation puts in front of a text is no byte of it
-        moved = np.maximum(flat + np.repeat(start - base - 1, n)[:, None], 0).astype("<i4")
+        moved = flat + np.repeat((start - base - 1).astype("<i4"), n)[:, None]
+        np.maximum(moved, 0, out=moved)
         edge = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])].tolist()
         out = [moved[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
         for i in (i for i, q in enumerate(quick) if not q and texts[i]):
@@ -368,11 +371,14 @@ class Digester:
                     ids = codec.piece_ids(p)
                     text[p], surface[p] = ",".join(map(str, ids)), codec.surface(ids)
                     self.piece_unit[p] = len(ids), len(p.encode("utf-8", "surrogatepass")) - (len(MARK.encode()) - 1) * p.count(MARK)
+                    if surface[p] != p.replace(MARK, " "):
+                        self.odd_pieces.add(p)
             self.rel[key] = self.relative(pieces)
             self.ids[key] = ",".join([text[p] for p in pieces])
-            decoded = "".join([surface[p] for p in pieces])
-            if decoded != segment.replace(MARK, " "):
-                self.odd[key] = decoded
+            if self.odd_pieces and not self.odd_pieces.isdisjoint(pieces):
+                decoded = "".join([surface[p] for p in pieces])
+                if decoded != segment.replace(MARK, " "):
+                    self.odd[key] = decoded
         out = []
         for t, p in zip(texts, parts, strict=True):
             ids = ",".join(map(self.ids.__getitem__, p))
