@@ -1,14 +1,44 @@
-"""Words and shingles of many texts at once, as 64-bit names made by hashing their content."""
+"""Words, windows and shingles of many texts at once, under names made by hashing their content.
+
+A word's name is the keyed 128-bit BLAKE2 digest of its bytes, in two halves; windows and shingles have two 64-bit
+names made from one half each, so what is equal by both is equal by 128 bits.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from itertools import chain
+
 import numpy as np
 
 _MUL, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _INV = pow(_MUL, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Distinct words that a worker remembers.
+MEMO = 500_000
+
+
+class _Names(dict):
+    """word -> its row in a table of names."""
+
+    def __init__(self):
+        super().__init__()
+        self.digests = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.digests += hashlib.blake2b(word, digest_size=16, key=b"sparkloom words").digest()
+        return at
+
+    def table(self) -> np.ndarray:
+        return np.frombuffer(bytes(self.digests), np.uint64).reshape(-1, 2)
+
+    def forget(self) -> None:
+        self.clear()
+        self.digests = bytearray()
+
+
+_names = _Names()
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -29,20 +59,15 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """(names of all words in order, first word of each text and the end, joined bytes, word starts, word ends)."""
-    data = b"\n".join([*texts, b""])
-    a = np.frombuffer(data, np.uint8)
-    space = _SPACE[a] if len(a) else np.zeros(0, bool)
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    up, down = powers(len(a) + 1)
-    run = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=run[1:])
-    name = mix((run[end] - run[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
-    return name, first, data, start, end
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first names, second names of all words in order, first word of each text and the end)."""
+    if len(_names) > MEMO:
+        _names.forget()
+    found = [t.split() for t in texts]
+    first = np.concatenate([[0], np.cumsum([len(w) for w in found], dtype=np.int64)]).astype(np.int64)
+    at = np.fromiter(map(_names.__getitem__, chain.from_iterable(found)), np.int64, int(first[-1]))
+    table = _names.table()
+    return table[at, 0], table[at, 1], first
 
 
 def window_names(name: np.ndarray, width: int) -> np.ndarray:
@@ -50,22 +75,48 @@ def window_names(name: np.ndarray, width: int) -> np.ndarray:
     n = len(name) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    factor = mix(np.arange(width, dtype=np.uint64), 90 + width) | np.uint64(1)
     total = np.zeros(n, np.uint64)
     for k in range(width):
-        total += name[k : k + n] * np.uint64(pow(0xE7037ED1A0B428DB, k + 1, 1 << 64))
+        total += name[k : k + n] * factor[k]
     return mix(total, 1)
 
 
-def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle names of each text; a text of fewer words is one shingle of all of them."""
-    name, first, *_ = words(texts)
-    shingle, out = window_names(name, width), []
+def _distinct(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted."""
+    order = np.argsort(one)
+    one, two = one[order], two[order]
+    new = np.concatenate([[True], one[1:] != one[:-1]])
+    if (~new[1:] & (two[1:] != two[:-1])).any():
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+    return one[new], two[new]
+
+
+def shingle_sets(texts: list[bytes], width: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two names of the distinct shingles of each text, sorted; a text of fewer words is one shingle of them all."""
+    one, two, first = words(texts)
+    long_one, long_two, out = window_names(one, width), window_names(two, width), []
+    nothing = np.zeros(0, np.uint64)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= width:
-            out.append(np.unique(shingle[a : b - width + 1]))
+            out.append(_distinct(long_one[a : b - width + 1], long_two[a : b - width + 1]))
         elif b > a:
-            short = window_names(name[a:b], b - a)
-            out.append(mix(short, 7 + b - a))
+            out.append((window_names(one[a:b], b - a), window_names(two[a:b], b - a)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((nothing, nothing))
     return out
+
+
+def shared(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share, by both names."""
+    small, large = (x, y) if len(x[0]) <= len(y[0]) else (y, x)
+    if not len(small[0]):
+        return 0
+    at = np.searchsorted(large[0], small[0])
+    at[at == len(large[0])] = 0
+    same = large[0][at] == small[0]
+    if (same & (large[1][at] != small[1])).any():
+        return len({*zip(*map(np.ndarray.tolist, small), strict=True)} & {*zip(*map(np.ndarray.tolist, large), strict=True)})
+    return int(same.sum())

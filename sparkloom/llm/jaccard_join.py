@@ -17,20 +17,19 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import ascii_lower, pick, slices, written
+from sparkloom.llm._common import ascii_lower, discard, pick, slices, written
 from sparkloom.llm._components import components
-from sparkloom.llm._words import mix, shingle_sets
+from sparkloom.llm._words import mix, shared, shingle_sets
 
 WIDTH, PERCENT = 5, 80
 #: Members of a group that one task compares with as many others.
 CHUNK = 2048
-#: Partners of a document in another component that are tried before all others are.
-NEAREST = 8
+#: Partners of a document in other components that a group tries first; eight times as many in each further round.
+NEAREST = 4
 #: Documents whose signatures are counted to see which are common, and keys kept of those.
 SAMPLE, MAX_COMMON = 10_000, 500_000
 #: Up to so many ids, a filter by ids is broadcast; beyond it, it is a shuffle join.
@@ -62,47 +61,57 @@ def bands(n: int, percent: int = PERCENT) -> list[int]:
     return [own, own - 1] if own and 100 * ((1 << own) - 1) >= percent * n else [own]
 
 
+def needed(n: int, band: int, percent: int = PERCENT) -> int:
+    """Of so many blocks of a set of size n, a set of the band that is linked with it cannot spoil all."""
+    rule = Bounds(percent)
+    return 1 + min(rule.reach(n), int(rule.difference(n, max(n * 100 // percent if n < 2 << band else 0, (2 << band) - 1))))
+
+
 def n_blocks(band: int) -> int:
-    """Blocks of the sketches of a band; many where sets are small, so that no set lacks non-empty blocks."""
-    return 1 << 16 if band < 6 else 1 << band if band < 9 else 3 << (band - 2)
+    """Blocks of the sketches of a band: a few more than differences are allowed, so that most hold several shingles."""
+    return max(8, 5 << band >> 3)
 
 
-def sketch(shingles: np.ndarray, band: int, blocks: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(non-empty blocks in order, XOR of the shingles' hashes in each)."""
+def sketch(shingles: np.ndarray, band: int, blocks: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(non-empty blocks in order, XOR of the shingles' hashes in each, shingles in each)."""
     m = blocks or n_blocks(band)
     block = ((mix(shingles, 2) >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
     order = np.argsort(block, kind="stable")
     block = block[order]
     first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-    return block[first], np.bitwise_xor.reduceat(mix(shingles, 3)[order], first)
+    return block[first], np.bitwise_xor.reduceat(mix(shingles, 3)[order], first), np.diff(np.append(first, len(block)))
+
 
+def all_signatures(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(band, join keys of the blocks, shingles in each) for each band of a set; a block's key covers its XOR and count.
 
-def all_signatures(shingles: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
-    """(band, join keys of all non-empty blocks) for each band of a set."""
+    Empty blocks are among them only where the others are fewer than a linked set can spoil.
+    """
     out = []
     for band in bands(len(shingles), percent):
-        block, parity = sketch(shingles, band)
-        out.append((band, mix(parity ^ mix(block, 100 + band), 4)))
+        block, parity, count = sketch(shingles, band)
+        if len(block) < needed(len(shingles), band, percent):
+            empty = np.setdiff1d(np.arange(n_blocks(band), dtype=np.uint64), block)
+            block, parity, count = np.append(block, empty), np.append(parity, np.zeros(len(empty), np.uint64)), np.append(count, np.zeros(len(empty), np.int64))
+        out.append((band, mix(parity ^ mix(block + (count.astype(np.uint64) << np.uint64(40)), 100 + band), 4), count))
     return out
 
 
 def signatures(shingles: np.ndarray, percent: int = PERCENT, common: tuple[np.ndarray, np.ndarray] | None = None) -> list[tuple[int, np.ndarray]]:
     """(band, join keys) for each band of a set: as many as a linked set cannot all spoil.
 
-    Keys are taken in an order that all documents share: those not in ``common`` (sorted keys, their frequencies in
-    a sample) first, then the rarer ones.  Any such order keeps the guarantee; this one avoids passages that many
-    documents hold.
+    Keys are taken in an order that all documents share, as what it looks at is part of the key: those not in
+    ``common`` (sorted keys, their frequencies in a sample) first, then the rarer ones; among these, blocks of many
+    shingles first, for they seldom agree by chance.  Any such order keeps the guarantee.
     """
     out = []
-    need = Bounds(percent).reach(len(shingles)) + 1
-    for band, keys in all_signatures(shingles, percent):
-        if len(keys) < need:
-            raise RuntimeError("a sketch has too few blocks for its guarantee")
+    for band, keys, count in all_signatures(shingles, percent):
+        often = np.zeros(len(keys), np.int64)
         if common is not None and len(common[0]):
             at = np.searchsorted(common[0], keys)
             at[at == len(common[0])] = 0
-            keys = keys[np.lexsort((keys, np.where(common[0][at] == keys, common[1][at], 0)))]
-        out.append((band, keys[:need]))
+            often = np.where(common[0][at] == keys, common[1][at], 0)
+        out.append((band, keys[np.lexsort((keys, -count, often))][: needed(len(shingles), band, percent)]))
     return out
 
 
@@ -119,10 +128,15 @@ def distances(sketches: np.ndarray, one: bytes) -> np.ndarray:
     return np.bitwise_count(sketches ^ np.frombuffer(one, np.uint64)).sum(axis=1, dtype=np.int64)
 
 
-def _sets(texts) -> list[np.ndarray]:
+def _sets(texts) -> list[tuple[np.ndarray, np.ndarray]]:
     return shingle_sets([ascii_lower(t) for t in texts], WIDTH)
 
 
+def _names(texts) -> list[np.ndarray]:
+    """The first names of the shingles; sketches and signatures need no more."""
+    return [s[0] for s in _sets(texts)]
+
+
 def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with ids (doc_id), broadcast only if they are few."""
     few = ids.count() <= BROADCAST_IDS
@@ -137,8 +151,8 @@ def digests(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sets = _sets(batch.column(1).to_pylist())
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=schema)
+                keys = [hashlib.blake2b(s[0].tobytes() + s[1].tobytes(), digest_size=16).digest() if len(s[0]) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s[0]) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
@@ -153,7 +167,7 @@ def common_signatures(docs: DataFrame, percent: int = PERCENT, sample: int = SAM
     def emit(batches):
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                keys = [k for s in _sets(batch.column(0).to_pylist()) if len(s) for _, k in all_signatures(s, percent)]
+                keys = [k for s in _names(batch.column(0).to_pylist()) if len(s) for _, k, _ in all_signatures(s, percent)]
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64))], ["sig"])
 
@@ -179,7 +193,7 @@ def groups_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 sig, band, owner = [], [], []
-                for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
+                for doc, s in zip(batch.column(0).to_pylist(), _names(batch.column(1).to_pylist()), strict=True):
                     for b, keys in signatures(s, percent, shared.value) if len(s) else ():
                         sig.append(keys.view(np.int64)), band.append(np.full(len(keys), b, np.int16)), owner.append(np.full(len(keys), doc, np.int64))
                 if sig:
@@ -218,8 +232,11 @@ def groups_of(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.mapInArrow(groups, "sig long, band short, doc_id long, centre long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets are linked; ``texts`` (doc_id, text) has all their documents."""
+def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets are linked; ``docs`` (doc_id, text) has all their documents.
+
+    Shingles are compared by both their names, 128 bits of their words.  Only the texts of the pairs' documents move.
+    """
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -232,18 +249,27 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
                 good = []
                 for i in range(len(a)):
                     x, y = sets[ta[i]], sets[tb[i]]
-                    if len(x) and len(y):
-                        small, large = (x, y) if len(x) <= len(y) else (y, x)
-                        place = np.searchsorted(large, small)
-                        place[place == len(large)] = 0
-                        shared = int((large[place] == small).sum())
-                        if 100 * shared >= percent * (len(x) + len(y) - shared):
-                            good.append(i)
+                    n = shared(x, y)
+                    if n and 100 * n >= percent * (len(x[0]) + len(y[0]) - n):
+                        good.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], schema=schema)
 
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "paired")
+    texts = _with_ids(docs, ids, "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    out = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    out = written(out, "verified")
+    discard(ids)
+    return out
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """A written table: doc_id, component of every document with links."""
+    out = components(links)
+    table = out.withColumnRenamed("node", "doc_id")
+    table.written_to = out.written_to
+    return table
 
 
 def _short_sketches(texts: DataFrame, percent: int) -> DataFrame:
@@ -252,7 +278,7 @@ def _short_sketches(texts: DataFrame, percent: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 rows = []
-                for doc, s in zip(batch.column(0).to_pylist(), _sets(batch.column(1).to_pylist()), strict=True):
+                for doc, s in zip(batch.column(0).to_pylist(), _names(batch.column(1).to_pylist()), strict=True):
                     rows += [(doc, b, len(s), parity_bits(s, b)) for b in (bands(len(s), percent) if len(s) else ())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.types)], schema=schema)
 
@@ -277,11 +303,11 @@ def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _cell(role, doc, comp, size, book, most: int | None, rule: Bounds) -> tuple[list[int], list[int], list[bool]]:
+def _cell(role, doc, comp, size, book, most: int, rule: Bounds) -> tuple[list[int], list[int], list[bool]]:
     """(a, b, cut) pairs of a cell that lie in different components and whose sketches allow a link.
 
-    Role 0 are documents outside the group's largest component, role 1 all that they meet.  With ``most``, only the
-    nearest so many of each other component are given, and ``cut`` says that some were left out.
+    Role 0 are documents outside the group's largest component, role 1 all that they meet.  Of a document's partners
+    only the nearest ``most`` are given, and ``cut`` says that some were left out.
     """
     full = np.flatnonzero(role == 1)
     out_a, out_b, out_cut = [], [], []
@@ -295,18 +321,15 @@ def _cell(role, doc, comp, size, book, most: int | None, rule: Bounds) -> tuple[
         far = distances(sketches[at], book[i])
         near = far <= rule.difference(sizes[at], n)
         at, far, cut = at[near], far[near], False
-        if most is not None and len(at) > most:
-            order = np.argsort(far, kind="stable")
-            rank = pd.Series(order).groupby(comps[at][order]).cumcount().to_numpy()
-            cut = bool((rank >= most).any())
-            at = at[order[rank < most]]
+        if len(at) > most:
+            cut, at = True, at[np.lexsort((docs[at], far))[:most]]
         out_a += np.minimum(docs[at], doc[i]).tolist()
         out_b += np.maximum(docs[at], doc[i]).tolist()
         out_cut += [cut] * len(at)
     return out_a, out_b, out_cut
 
 
-def _compare(most: int | None, percent: int):
+def _compare(most: int, percent: int):
     """The pairs of all cells; rows come sorted by cell, and a cell has a bounded number of them."""
     rule = Bounds(percent)
 
@@ -343,23 +366,27 @@ def _compare(most: int | None, percent: int):
     return run
 
 
-def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int | None, percent: int) -> DataFrame:
-    """a, b, cut: pairs of members of one group in different components that may be linked; cut: some were left out."""
+def across(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int, percent: int) -> DataFrame:
+    """a, b, cut: pairs of members of one group in different components that may be linked; cut: some were left out.
+
+    Groups of equal members and components count once.
+    """
     known = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).select("sig", "band", "doc_id", "component")
-    known = written(known, "labelled")
     parts = known.groupBy("sig", "component").agg(F.count("*").alias("c"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("x"))
     one = parts.groupBy("sig").agg(F.count("*").alias("k"), F.sum("c").alias("g"), F.max(F.struct("c", "component")).alias("m"), F.sum("h").alias("h"), F.bit_xor("x").alias("x")).where("k > 1")
     one = one.groupBy("g", "h", "x").agg(F.min_by(F.struct("sig", "m"), "sig").alias("o")).select("o.sig", "g", F.col("o.m.component").alias("major"), F.col("o.m.c").alias("c"))
-    one = one.select("sig", "major", F.ceil(F.col("g") / CHUNK).cast("int").alias("nj"), F.ceil((F.col("g") - F.col("c")) / CHUNK).cast("int").alias("ni"))
-    rows = written(known.join(one, "sig"), "open")
-    rows = rows.join(sketches, ["doc_id", "band"])
+    one = written(one.select("sig", "major", F.ceil(F.col("g") / CHUNK).cast("int").alias("nj"), F.ceil((F.col("g") - F.col("c")) / CHUNK).cast("int").alias("ni")), "open")
+    rows = known.join(one, "sig").join(sketches, ["doc_id", "band"])
     cut = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    full = rows.select("*", F.lit(1).alias("role"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), cut("nj").alias("j"))
-    minor = rows.where("component != major").select("*", F.lit(0).alias("role"), cut("ni").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    cells = full.unionByName(minor).select("sig", "i", "j", "role", "doc_id", "component", "size", "sketch")
+    full = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), cut("nj").alias("j")))
+    minor = F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(F.lit(0).alias("role"), cut("ni").alias("i"), j.alias("j")))
+    places = F.explode(F.when(F.col("component") != F.col("major"), F.concat(full, minor)).otherwise(full))
+    cells = rows.select("sig", "doc_id", "component", "size", "sketch", places.alias("p")).select("sig", "p.i", "p.j", "p.role", "doc_id", "component", "size", "sketch")
     cells = cells.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
     pairs = cells.mapInArrow(_compare(most, percent), "a long, b long, cut boolean")
-    return pairs.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    out = written(pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")), "pairs")
+    discard(one)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -374,29 +401,38 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     base = pick(docs, "doc_id", "text")
     sets = written(digests(base), "sets")
     named = sets.where("doc_id is not null and set_key is not null")
-    first = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    first = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
     first = written(first, "copies")
-    extra = named.join(first.where("copies > 1"), "set_key").where("doc_id != rep").select("doc_id").distinct()
+    copied = named.join(first, "set_key").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("x"), F.max("set_key").alias("y")).where("x != y").select(F.col("doc_id").alias("b"))
+    several = written(copied.join(several, "b", "left_semi").select("a", "b"), "several")  # ids of different texts take part themselves
+    extra = written(copied.join(several, "b", "left_anti").select(F.col("b").alias("doc_id")).distinct(), "extra")
     texts = base.where("doc_id is not null and text is not null")
     members = written(groups_of(_with_ids(texts, extra, "left_anti"), percent), "members")
 
     ids = written(members.select("doc_id").distinct(), "candidates")
-    some = written(_with_ids(texts, ids, "left_semi"), "texts")
-    sketches = written(_short_sketches(some, percent).dropDuplicates(["doc_id", "band"]), "sketches")
+    sketches = written(_short_sketches(_with_ids(texts, ids, "left_semi"), percent).dropDuplicates(["doc_id", "band", "sketch"]), "sketches")
     star = members.where("doc_id != centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.min("band").alias("band"))
-    tried = written(near_enough(star, sketches, percent).distinct(), "pairs")
-    links = written(verified(tried, some, percent), "verified")
-    for most in (NEAREST, None):  # the second time only if some pairs were left out
-        labels = written(components(links).select(F.col("node").alias("doc_id"), "component"), "labels")
-        more = written(across(members, labels, sketches, most, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(more.select("a", "b"))
-        links = written(links.unionByName(verified(more, some, percent)), "verified")
-        if not more.where("cut").limit(1).count():
-            break
-    final = components(links).withColumnsRenamed({"node": "rep", "component": "_root"})
-    by_set = first.join(final, "rep", "left").select("set_key", F.coalesce("_root", "rep").alias("component_id"))
-    out = sets.join(by_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    # every document's smallest partner first; what that does not link is met below, with all the others
+    tree = written(near_enough(star, sketches, percent).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = verified(tree, texts, percent)
+    labels = _labels(links.unionByName(several))
+    discard(tree, links, several)
+    most, cut = NEAREST, True
+    while cut:  # ends with all partners looked at; nearly all of them are known to be linked by then
+        pairs = across(members, labels, sketches, most, percent)
+        n, cut = pairs.agg(F.count("*"), F.coalesce(F.bool_or("cut"), F.lit(False))).first()
+        most *= 8
+        if n:
+            found = verified(pairs, texts, percent)
+            old, labels = labels, _labels(labels.select(F.col("component").alias("a"), F.col("doc_id").alias("b")).unionByName(found))
+            discard(old, found)
+        discard(pairs)
+    discard(extra, members, ids, sketches)
+    root = labels.withColumnsRenamed({"doc_id": "rep", "component": "_root"})
+    by_set = first.join(root, "rep", "left").select("set_key", F.coalesce("_root", "rep").alias("_copied"))
+    out = sets.join(by_set, "set_key", "left").join(labels.withColumnRenamed("component", "_own"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_own", "_copied", "doc_id")).alias("component_id"))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -157,7 +157,7 @@ def _keys(docs: DataFrame, window: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 ids = batch.column(0).to_numpy()
-                name, first, *_ = words([_plain(t) for t in batch.column(1).to_pylist()])
+                name, two, first = words([_plain(t) for t in batch.column(1).to_pylist()])
                 start, key = representatives(name, first, window)
                 doc = np.searchsorted(first, start, side="right") - 1
                 new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, bool)
@@ -174,14 +174,14 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
                 ids = batch.column(0).to_numpy()
-                name, first, *_ = words([_plain(t) for t in batch.column(1).to_pylist()])
+                name, two, first = words([_plain(t) for t in batch.column(1).to_pylist()])
                 start, key = representatives(name, first, window)
                 doc = np.searchsorted(first, start, side="right") - 1
                 shared = [np.asarray(x, np.int64) for x in batch.column(2).to_pylist()]
                 salt = np.concatenate([mix(x.view(np.uint64) ^ np.uint64(i), 50) if len(x) else x.view(np.uint64) for i, x in enumerate(shared)]) if shared else np.zeros(0, np.uint64)
                 hit = np.isin(mix(key ^ doc.astype(np.uint64), 50), salt)
                 start, doc = start[hit], doc[hit]
-                one, two = window_names(name, window), window_names(mix(name, 60), window)
+                one, two = window_names(name, window), window_names(two, window)
                 yield pa.RecordBatch.from_arrays([pa.array(one[start].view(np.int64)), pa.array(two[start].view(np.int64)), pa.array(ids[doc]), pa.array((start - first[doc]).astype(np.int32))], schema=schema)
 
     return docs.mapInArrow(run, "h1 long, h2 long, doc_id long, at int")
