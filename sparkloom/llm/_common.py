@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,13 +34,27 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_c{at[n]}").alias(n) for n in names])
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose key is among ``decisions``' (nulls match nulls)."""
+#: Up to so many ids, a filter by ids is broadcast; beyond it, it is a shuffle join.
+BROADCAST_IDS = 1_000_000
+
+
+def drop_rows(docs: DataFrame, dropped: DataFrame, same: str | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but those whose doc_id is among ``dropped``'s (nulls match nulls).
+
+    ``dropped`` is a written table with doc_id and maybe a column named ``same``: then a row goes only if the digest of
+    its text, with A-Z in lower case, begins with it, so that rows that repeat a doc_id are told apart.  The ids are
+    broadcast if they are few, so the texts need not move.
+    """
     names = docs.columns
-    at = names.index(key)
+    id_, text = [F.col(f"_c{names.index(n)}") for n in ("doc_id", "text")]
     left = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    right = decisions.select(F.col(key).alias("_key")).distinct()
-    return left.join(right, F.col(f"_c{at}").eqNullSafe(F.col("_key")), "left_semi").toDF(*names)
+    right = dropped.select(F.col("doc_id").alias("_key"), *([F.col(same).alias("_same")] if same else []))
+    right = F.broadcast(right) if dropped.count() <= BROADCAST_IDS else right
+    on = id_.eqNullSafe(F.col("_key"))
+    if same:
+        low = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+        on = on & F.startswith(F.sha2(low.cast("binary"), 256), F.col("_same"))
+    return left.join(right, on, "left_anti").toDF(*names)
 
 
 def shared_dir(spark: SparkSession) -> str:

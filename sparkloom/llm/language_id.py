@@ -7,6 +7,8 @@ right by the longest character n-gram that training saw at that place, then by s
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -19,7 +21,11 @@ from sparkloom.llm._common import held_out, pick, slices
 
 #: Bounds of the model: at most so many documents a language, words and n-grams in all.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, LONGEST = 2000, 6_000_000, 120_000, 60_000, 4
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A run of letters: what \w covers without decimal digits, the underscore and the other signs that count as numbers.
+_SIGNS = "".join(map(chr, (c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))))
+LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+#: Up to so many languages, a table of them is broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Words that a worker remembers.
 MEMO = 200_000
 UNDETERMINED = "und"
@@ -51,8 +57,12 @@ class Model:
         return tuple(total)
 
 
-def fit(texts: list[tuple[str, str]]) -> Model:
-    """A model from (language, text) pairs; add-one smoothing over the words and over the n-grams of each length."""
+def fit(texts: list[tuple[str, str]], max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+    """A model from (language, text) pairs; half-count smoothing over the words and over the n-grams of each length.
+
+    Known words are those that occur twice, the ``max_words`` most frequent of them; n-grams are single characters and
+    those that occur three times, the ``max_grams`` most frequent.  What is left out is backed off from.
+    """
     languages = sorted({lang for lang, _ in texts})
     words = {lang: Counter() for lang in languages}
     for lang, text in texts:
@@ -60,7 +70,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     everything = Counter()
     for c in words.values():
         everything.update(c)
-    known = [w for w, n in sorted(everything.items(), key=lambda x: (-x[1], x[0])) if n > 1][:MAX_WORDS]
+    known = [w for w, n in sorted(everything.items(), key=lambda x: (-x[1], x[0])) if n > 1][:max_words]
     grams = {lang: Counter() for lang in languages}
     for lang in languages:
         for w, n in words[lang].items():
@@ -71,7 +81,7 @@ def fit(texts: list[tuple[str, str]]) -> Model:
     all_grams = Counter()
     for c in grams.values():
         all_grams.update(c)
-    chosen = [g for g, n in sorted(all_grams.items(), key=lambda x: (-x[1], x[0])) if n > 2 or len(g) == 1][:MAX_GRAMS]
+    chosen = [g for g, n in sorted(all_grams.items(), key=lambda x: (-x[1], x[0])) if n > 2 or len(g) == 1][:max_grams]
     n_words = [sum(words[lang].values()) + len(known) + 1 for lang in languages]
     by_size = [[sum(n for g, n in grams[lang].items() if len(g) == size) + len(chosen) + 1 for lang in languages] for size in range(LONGEST + 1)]
     return Model(
@@ -95,6 +105,14 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     rows = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
     ids = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"), F.least(F.length("text"), F.lit(sample_chars)).alias("_n"))
     late = F.when(F.col("_n") > (sample_chars // 100 if doc_chars is None else doc_chars), F.col("_n")).otherwise(0)
+    # cells in the same order, counted first: the windows then see the rows of the cells that hold the sample, not a language
+    cell = F.when(late > 0, F.lit(1 << 16) + F.floor(F.log2(F.greatest(late, F.lit(1))) * 64)).otherwise(F.shiftright("_h", 48)).cast("int")
+    ids = ids.withColumn("_cell", cell)
+    cells = ids.groupBy("lang", "_cell").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("lang").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = cells.withColumn("_before", before).where(F.col("_before") < sample_docs).groupBy("lang").agg(F.max("_cell").alias("_reach"))
+    many = reach.count() > BROADCAST_LANGUAGES
+    ids = ids.join(reach if many else F.broadcast(reach), "lang").where("_cell <= _reach")
     order = Window.partitionBy("lang").orderBy(late, "_h", "doc_id")
     first = ids.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample_docs)
     first = first.withColumn("_sum", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= sample_chars)
@@ -103,46 +121,73 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     return fit([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))])
 
 
+class _Teller:
+    """Tells the languages of texts; remembers the scores of words."""
+
+    def __init__(self, model: Model):
+        self.model, self.memo = model, {}
+
+    def tell(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, score, words) of each text."""
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return [self.one(t) for t in texts]
+
+    def one(self, text: str | None) -> tuple[str, float, int]:
+        counts = Counter(LETTERS.findall(text.lower())) if text else {}
+        if not counts or not self.model.languages:
+            return UNDETERMINED, 0.0, 0
+        rows = []
+        for w in counts:
+            x = self.memo.get(w)
+            if x is None:
+                x = self.memo[w] = self.model.word(w)
+            rows.append(x)
+        n = np.fromiter(counts.values(), float, len(counts))
+        total = n @ np.array(rows)
+        best, odds = int(np.argmax(total)), (total - total.max()) / n.sum()
+        # per word evidence; at least e ** -odds, as if the text had a few words at most
+        return self.model.languages[best], float(1 / np.exp(odds * min(n.sum(), 20.0)).sum()), int(n.sum())
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, n_letters_words for every row of ``docs`` (doc_id, text).
+    """doc_id, lang_pred, score, n_words for every row of ``docs`` (doc_id, text).
 
     The score is the posterior probability of the predicted language, with equal priors and the evidence taken
     per word (mean log odds), so that long texts do not all get 1.  ``und`` with score 0 is for null text and text
     without letters, and for everything if the model has no language.  Ties go to the first language in order.
     Nothing but the text is looked at; every row gives one row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, MAX_WORDS and MAX_GRAMS
 
     def run(batches):
-        model = shared.value
-        memo: dict[str, tuple[float, ...]] = {}
+        teller = _Teller(held.value)
         out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("n_words", pa.int64())])
         for whole in batches:
             for batch in slices(whole, "text"):
-                langs, scores, sizes = [], [], []
-                if len(memo) > MEMO:
-                    memo.clear()
-                for text in batch.column(1).to_pylist():
-                    counts = Counter(LETTERS.findall(text.lower())) if text else {}
-                    if not counts or not model.languages:
-                        langs.append(UNDETERMINED), scores.append(0.0), sizes.append(0)
-                        continue
-                    rows = []
-                    for w in counts:
-                        x = memo.get(w)
-                        if x is None:
-                            x = memo[w] = model.word(w)
-                        rows.append(x)
-                    n = np.fromiter(counts.values(), float, len(counts))
-                    total = n @ np.array(rows)
-                    best, odds = int(np.argmax(total)), (total - total.max()) / n.sum()
-                    # per word evidence; at least e ** -odds, as if the text had a few words at most
-                    langs.append(model.languages[best]), scores.append(float(1 / np.exp(odds * min(n.sum(), 20.0)).sum())), sizes.append(int(n.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], schema=out)
+                told_ = teller.tell(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[i] for r in told_], t) for i, t in enumerate(out.types[1:])]], schema=out)
 
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
+def told(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is found with a score of ``least`` or more."""
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, MAX_WORDS and MAX_GRAMS
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        teller = _Teller(held.value)
+        for whole in batches:
+            for batch in slices(whole, f"_c{at}"):
+                good = [lang != UNDETERMINED and score >= least for lang, score, _ in teller.tell(batch.column(at).to_pylist())]
+                yield batch.filter(pa.array(good, pa.bool_()))
+
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     """Predictions for all documents, learnt from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

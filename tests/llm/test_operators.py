@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from sparkloom.llm import exact_dedup, jaccard_join, language_id, mixing, ppm_scoring, sentencepiece_codec, substring_dedup, token_counts, topk_search, zip_warc
-from sparkloom.llm._common import keep_rows, pick
+from sparkloom.llm._common import drop_rows, pick
 
 W = [f"w{i}" for i in range(400)]
 ROWS = [
@@ -35,8 +35,13 @@ def test_columns_are_picked_by_exact_name(spark):
     assert pick(df, "doc_id", "text").collect() == [(1, "a")]
     with pytest.raises(ValueError):
         pick(df, "lang")
-    kept = keep_rows(df, spark.createDataFrame([(1,)], "doc_id long"))
-    assert kept.columns == ["doc_id", "text", "DOC_ID"] and kept.count() == 1
+    rows = spark.createDataFrame([(1, "A", 2), (1, "b", 2), (None, "c", 2), (3, None, 2)], df.schema)
+    left = lambda gone, same=None: sorted(r["text"] or "" for r in drop_rows(rows, gone, same).collect())
+    assert drop_rows(rows, spark.createDataFrame([(1,)], "doc_id long")).columns == ["doc_id", "text", "DOC_ID"]
+    assert left(spark.createDataFrame([(1,)], "doc_id long")) == ["", "c"]
+    assert left(spark.createDataFrame([(None,)], "doc_id long")) == ["", "A", "b"]
+    digest = lambda t: hashlib.sha256(t).hexdigest()[:32]
+    assert left(spark.createDataFrame([(1, digest(b"a")), (3, digest(b""))], "doc_id long, d string"), "d") == ["b", "c"]
 
 
 def test_exact_dedup(docs_of):
@@ -255,3 +260,146 @@ def test_language_with_long_texts_alone_is_learnt(docs_of):
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs_of(rows), model).collect()}
     assert got == {r[0]: r[2] for r in rows}
     assert language_id.train(docs_of(rows[:9] + rows[10:]), sample_chars=1000).languages == ["de", "en"]  # longer than the sample
+
+
+def thue_morse(n):
+    """Two different sequences of 2 ** n letters that polynomial hashes modulo powers of two take for equal."""
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_defeat_polynomial_hashes(docs_of):
+    a, b = thue_morse(10)
+    rows = [(1, " ".join([*W[:49], a])), (2, " ".join([*W[:49], b])), (3, a), (4, b)]
+    got = by_id(substring_dedup.remove_repeats(docs_of(rows)), "n_removed")
+    assert got == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    got = dict(by_id(jaccard_join.near_duplicates(docs_of(rows)), "component_id"))
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}  # the first two share 45 of 46 shingles
+
+
+def components_by_hand(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_groups_larger_than_a_cell_and_more_partners_than_are_tried_first(docs_of, monkeypatch):
+    import random
+
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5)
+    monkeypatch.setattr(jaccard_join, "NEAREST", 1)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 3)
+    rnd = random.Random(9)
+    rows = []
+    for k in range(40):  # variants of one text at all distances around the threshold
+        w = W[:160]
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(160)] = f"x{k}-{rnd.randrange(99)}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(W[200 : 200 + n])) for k, n in enumerate((1, 2, 4, 5, 6, 9, 40, 41, 49))]
+    got = dict(by_id(jaccard_join.near_duplicates(docs_of(rows)), "component_id"))
+    assert got == components_by_hand(rows)
+
+
+def test_one_id_with_several_texts(docs_of):
+    rows = [(1, " ".join(W[:100])), (5, " ".join(W[:100])), (5, " ".join(W[200:300])), (7, " ".join(W[200:300] + ["z"])), (9, "alone here")]
+    got = by_id(jaccard_join.near_duplicates(docs_of(rows)), "component_id")
+    assert got == [(1, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
+
+
+def test_numbers_are_not_letters_and_long_texts_train(docs_of):
+    long = " ".join(f"wort{chr(97 + i % 26)} haus baum" for i in range(8000))
+    assert len(long) > 100_000
+    model = language_id.train(docs_of([(1, "the house and the tree " * 3, "en", None), (2, long, "de", None)]))
+    assert model.languages == ["de", "en"] and "haus" in model.words
+    told = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(docs_of([(1, "½ ²"), (2, "Ⅷ 12"), (3, "haus"), (4, "_")]), model).collect()}
+    assert told[1] == told[2] == told[4] == ("und", 0.0) and told[3][0] == "de"
+
+
+def test_word_first_backoff_by_hand():
+    import math
+
+    texts = [("de", "der hund und der hase"), ("en", "the hound and the hare and the"), ("de", "hund"), ("en", "hare")]
+    model = language_id.fit(texts)
+    words = {lang: Counter(w for x, t in texts if x == lang for w in t.split()) for lang in ("de", "en")}
+    known = {w for w, n in (words["de"] + words["en"]).items() if n > 1}
+    grams = {lang: Counter() for lang in words}
+    for lang, c in words.items():
+        for w, n in c.items():
+            p = f"<{w}>"
+            for a in range(len(p)):
+                for b in range(a + 1, min(a + 4, len(p)) + 1):
+                    grams[lang][p[a:b]] += n
+    chosen = {g for g, n in (grams["de"] + grams["en"]).items() if n > 2 or len(g) == 1}
+
+    def score(w, lang):
+        if w in known:
+            return math.log((words[lang][w] + 0.5) / (sum(words[lang].values()) + len(known) + 1))
+        of_size = lambda n: sum(v for g, v in grams[lang].items() if len(g) == n) + len(chosen) + 1
+        total, rest = 0.0, f"<{w}>"
+        while rest:
+            part = next((rest[:n] for n in range(min(4, len(rest)), 0, -1) if rest[:n] in chosen), None)
+            total += math.log(((grams[lang][part] if part else 0) + 0.5) / of_size(len(part) if part else 1))
+            rest = rest[len(part or "x") :]
+        return total
+
+    for w in ("hund", "the", "hunde", "thee", "zebra", "hares", "d", "ünd"):
+        assert model.word(w) == pytest.approx(tuple(score(w, lang) for lang in ("de", "en")))
+    for text in ("der hunde zebra", "the hares thee thee"):
+        total = [sum(score(w, lang) for w in text.split()) for lang in ("de", "en")]
+        lang, post, n = language_id._Teller(model).one(text)
+        assert lang == ("de", "en")[total[1] > total[0]] and n == len(text.split())
+        assert post == pytest.approx(1 / sum(math.exp(x - max(total)) for x in total))
+
+
+def test_language_stage_keeps_rows_as_they_are(spark, docs_of):
+    model = language_id.fit([("en", "the cat and the dog and the cat"), ("de", "der hund und die katze und der hund")])
+    df = spark.createDataFrame([(1, "the cat", 1), (1, "the cat", 1), (None, "der hund", 2), (2, None, 3), (3, "123", 4)], "doc_id long, text string, TEXT int")
+    kept = language_id.told(df, model, 0.5)
+    assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r[1] and r[1] != "123")
+    assert language_id.told(df.limit(0), model, 0.5).count() == 0
+
+
+def test_long_texts_are_scanned_in_chunks(docs_of):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rows = [*ROWS, (60, "it's 12  words<|endoftext|>x\n\n" * 40), (61, "y" * 300), (61, "y" * 300), (None, " \n" * 200), (62, "don't é🧿" * 60)]
+    got = by_id(token_counts.count_tokens(docs_of(rows), path, chunk=50), "n_bytes", "n_tokens")
+    assert got == sorted(((i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in rows), key=str)
+
+
+def test_mix_takes_the_same_rows_with_all_columns(spark, docs_of, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), None, ["a", "b", None, "c"][0 if i < 200 else i % 4]) for i in range(400)] + [(500, None, None, "b"), (501, "", None, "only-empty")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)] + [(None, 1)], "doc_id long, quality int")
+    plan = mixing.mix(docs_of(rows), labels).collect()
+    want = Counter({r["doc_id"]: r["copies"] for r in plan if r["copies"]})
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_LABELS", most)
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        got = mixing.mixed(docs_of(rows), labels)
+        assert got.columns == docs_of(rows).columns
+        assert Counter(r["doc_id"] for r in got.collect()) == want
+    by = {}
+    for r in plan:
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(target - taken) <= 7 / 2 for target, taken in by.values())
+    assert mixing.mixed(docs_of(rows).limit(0), labels).count() == 0

@@ -66,3 +66,30 @@ def test_language_stage_learns_from_training_documents_alone(spark):
     model = language_id.train(docs.where(~held_out(4)))
     got = language_id.predict(docs.where(held_out(4)), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls, repeats, ids with several texts, clashing columns, empty tables."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, DOC_ID string"
+    good = "the small house stands under the old tree and the people look at it every day"
+    rows = [(1, good, "en", "a"), (2, good.upper(), "en", "a"), (2, "another text of the day about people and a tree that is old", "en", None), (3, None, "en", "b"), (None, good + " now", None, "b"), (4, "", "en", "b"), (5, good + " again", "en", "c"), (5, good + " again", "en", "c")]
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], schema)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = lambda df: sorted((str(r[0]), r[1]) for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    told = stages["language ID"](spark, docs, str(tmp_path))
+    assert told.columns == docs.columns and texts(told) == sorted((str(i), t) for i, t, *_ in rows if t)
+    alone = stages["exact dedup"](spark, told, str(tmp_path))
+    assert alone.columns == docs.columns
+    assert texts(alone) == sorted((str(i), t) for i, t, *_ in rows if t and i != 1)  # of id 2, each text is judged by itself
+    near = stages["n-gram Jaccard join"](spark, alone, str(tmp_path))
+    assert texts(near) == sorted((str(i), t) for i, t, *_ in rows if t and i not in (1, 5))
+    assert near.columns == docs.columns
+    mixed = stages["mixing"](spark, near, str(tmp_path))
+    assert mixed.columns == docs.columns and set(texts(mixed)) <= set(texts(near))
+    last = stages["SentencePiece"](spark, mixed, str(tmp_path))
+    assert last.count() == mixed.count()
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, str(tmp_path))
+        assert nothing.count() == 0
