@@ -10,44 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_codec
-from sparkloom.llm._common import held_out, keep_rows, written
+from sparkloom.llm._common import discard, drop_rows, held_out, pick, written
 
 #: A document stays if a language was found with at least this posterior probability.
 LEAST_SCORE = 0.5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those whose language the model cannot tell; the others stay as they are."""
-    model = language_id.train(docs.where(~held_out(4)))
-    good = language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return keep_rows(docs, good)
+    """Drops documents without letters and those whose language the model cannot tell; the others stay as they are.
+
+    Every row is judged by its own text, in the pass that writes it: null text goes, a null doc_id, repeated rows and
+    further columns of any name make no difference, an empty table stays empty.
+    """
+    model = language_id.train(pick(docs, "doc_id", "text", "lang").where(~held_out(4)))
+    return language_id.told(docs, model, LEAST_SCORE)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, that with the largest doc_id stays."""
-    return keep_rows(docs, exact_dedup.exact_groups(docs).where("kept"))
+    """Of documents with equal texts, that with the largest doc_id stays.
+
+    Rows that repeat a doc_id with an equal text are the same document and all stay; with different texts each is
+    judged by its own.  Null and empty texts are one group; a null doc_id is smaller than any other.
+    """
+    gone = exact_dedup.exact_groups(docs).where("not kept").select("doc_id", F.substring("text_sha256", 1, 32).alias("digest")).distinct()
+    return drop_rows(docs, written(gone, "gone"), "digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every component of near-duplicates, the document with the smallest doc_id stays."""
+    """Of every component of near-duplicates, the document with the smallest doc_id stays.
+
+    Documents without words are linked with nothing and stay, as does a null doc_id; rows that repeat a doc_id stay or
+    go together.
+    """
     found = jaccard_join.near_duplicates(docs)
-    return keep_rows(docs, found.where("component_id is null or doc_id = component_id"))
+    return drop_rows(docs, written(found.where("doc_id != component_id").select("doc_id").distinct(), "gone"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Brings the sources to their targets: a document is there as often as the mix takes it."""
-    plan = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = written(plan.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
-    names = docs.columns
-    at = names.index("doc_id")
-    left = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    right = copies.select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
-    both = left.join(right, F.col(f"_c{at}").eqNullSafe(F.col("_key")))
-    return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[f"_c{i}" for i in range(len(names))]).toDF(*names)
+    """Brings the sources to their targets: a document is there as often as the mix takes it.
+
+    Documents without words are never taken; a null source is a source of its own; repeated rows each count.
+    """
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids, decoded texts and spans of what is left, as digests."""
+    """SentencePiece ids, decoded texts and spans of what is left, as digests; one row per row, null text as empty."""
     return sentencepiece_codec.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -59,7 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet and read again, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
