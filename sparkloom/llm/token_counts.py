@@ -8,7 +8,8 @@ longest suffix that some vocabulary entry starts with and the last tokens of the
 
 A pre-token boundary resets the second machine, so what a chunk of text does to the state of the text before it
 is told by three things: the head before its first sure boundary, the tokens between, and the tail after its last
-one.  These chunk maps compose associatively and are combined by a prefix scan.
+one.  These chunk maps compose associatively and are combined by a prefix scan; the chunks of a long
+text are read by several tasks.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from __future__ import annotations
 import json
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sparkloom.llm._common import pick, slices
 
 #: Code points of a chunk; longer texts are scanned chunk by chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 #: States after which a worker compiles anew.
 MAX_STATES = 250_000
 L, N, SPACE, OTHER_SPACE, O, QUOTE = range(6)
@@ -220,10 +223,10 @@ def boundaries(points: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Counter:
     """Counts the tokens of texts, special strings counting as one each."""
 
-    def __init__(self, spec: dict, chunk: int = CHUNK):
+    def __init__(self, spec: dict):
         self.machine = Transducer(spec["vocab"], spec["ranks"])
         self.classes = Classes()
-        self.special, self.chunk = spec["special"], chunk
+        self.special = spec["special"]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; null counts as empty."""
@@ -238,12 +241,8 @@ class Counter:
             pieces += [p for p in parts if p]
             owner += [i] * sum(1 for p in parts if p)
         out = extra
-        short = [k for k, p in enumerate(pieces) if len(p) <= self.chunk]
-        if short:
-            np.add.at(out, [owner[k] for k in short], self._joined([pieces[k] for k in short]))
-        for k, p in enumerate(pieces):
-            if len(p) > self.chunk:
-                out[owner[k]] += self.scan(p)
+        if pieces:
+            np.add.at(out, owner, self._joined(pieces))
         return out.tolist()
 
     def _joined(self, pieces: list[str]) -> np.ndarray:
@@ -268,10 +267,11 @@ class Counter:
         return total[k[1:]] - total[k[:-1]]
 
     def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, tokens, tail) of a chunk; tail None: the chunk has no two sure boundaries and is all head.
+        """(head, tokens, tail) of a chunk: what a scan that enters it in any state has to know of it.
 
-        A boundary is sure wherever its neighbours cannot change it: between a letter or sign and the white space
-        behind it.
+        Between the first and the last place where the automaton is in its starting state whatever came before (white
+        space behind anything else), the tokens are counted; head and tail stay text.  Tail None: there is no such
+        place and the chunk is all head.  Special strings have no white space, so none reaches over such a place.
         """
         points = np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)
         c = self.classes.of(points)
@@ -280,10 +280,10 @@ class Counter:
         if not len(sure):
             return chunk, 0, None
         a, b = int(sure[0]), int(sure[-1])
-        return chunk[:a], int(self._joined([chunk[a:b]])[0]) if b > a else 0, chunk[b:]
+        return chunk[:a], self._tokens(chunk[a:b]), chunk[b:]
 
     def compose(self, x: tuple, y: tuple) -> tuple:
-        """The map of two chunks that follow each other."""
+        """The map of two chunks that follow each other; associative."""
         if x[2] is None and y[2] is None:
             glued = x[0] + y[0]
             return self.chunk_map(glued)
@@ -300,37 +300,73 @@ class Counter:
         return x[0], x[1] + self._tokens(x[2] + y[0]) + y[1], y[2]
 
     def _tokens(self, text: str) -> int:
-        return int(self._joined([text])[0]) if text else 0
+        return self.count([text])[0] if text else 0
 
-    def scan(self, text: str) -> int:
-        """Tokens of a long text: the maps of its chunks, combined pair by pair in log2 rounds."""
-        maps = [self.chunk_map(text[i : i + self.chunk]) for i in range(0, len(text), self.chunk)]
+    def total(self, maps: list[tuple]) -> int:
+        """Tokens of a text from the maps of its chunks, combined pair by pair in log2 rounds."""
         while len(maps) > 1:
             maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
         head, n, tail = maps[0]
         return self._tokens(head) + n + self._tokens(tail or "")
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
+def _scan(long: DataFrame, spec, chunk: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens of long texts: chunks go to all tasks, each gives its map, and the maps of a text, which
+    are as small as the distance between white space, are composed in one place."""
+
+    def cut(batches):
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("chunk", pa.string())])
+        for batch in batches:
+            for row, doc, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                for i in range(0, len(text), chunk):
+                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([doc], pa.int64()), pa.array([i]), pa.array([text[i : i + chunk]])], schema=schema)
+
+    def maps(batches):
+        counter = Counter(spec.value)
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("bytes", pa.int64()), ("head", pa.string()), ("n", pa.int64()), ("tail", pa.string())])
+        for whole in batches:
+            for batch in slices(whole, "chunk", 4 << 20):
+                texts = batch.column(3).to_pylist()
+                head, n, tail = zip(*[counter.chunk_map(t) for t in texts], strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(head, pa.string()), pa.array(n, pa.int64()), pa.array(tail, pa.string())], schema=schema)
+
+    def join(pdf):
+        pdf = pdf.sort_values("at")
+        parts = [(h, int(n), t) for h, n, t in zip(pdf["head"], pdf["n"], pdf["tail"], strict=True)]
+        doc = pdf["doc_id"].iloc[0]
+        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(doc) else int(doc)], "Int64"), "n_bytes": [int(pdf["bytes"].sum())], "n_tokens": [Counter(spec.value).total(parts)]})
+
+    rows = long.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(cut, "row long, doc_id long, at long, chunk string")
+    found = rows.repartition("row", "at").mapInArrow(maps, "row long, doc_id long, at long, bytes long, head string, n long, tail string")
+    return found.groupBy("row").applyInPandas(join, "doc_id long, n_bytes long, n_tokens long")
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row of ``docs`` (doc_id, text).
 
     The counts are those of the library for the tokenizer file at ``path`` without added special tokens; special
-    strings inside a text count as one token.  Null text counts as empty: no bytes, no tokens.  Long texts are
-    scanned chunk by chunk; every row gives one row, repeated or not.
+    strings inside a text count as one token.  Null text counts as empty: no bytes, no tokens.  Texts of more than
+    ``chunk`` characters are scanned in chunks by several tasks; every row gives one row, repeated or not.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(load(path))  # as large as the vocabulary
+    loaded = load(path)
+    spec = docs.sparkSession.sparkContext.broadcast(loaded)  # as large as the vocabulary
 
     def run(batches):
         counter = Counter(spec.value)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
                 texts = batch.column(1).to_pylist()
-                n = counter.count(texts)
                 size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], schema=schema)
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(counter.count(texts), pa.int64())], schema=schema)
+
+    base = pick(docs, "doc_id", "text")
+    if any(any(x.isspace() for x in s) for s in loaded["special"]):  # white space is no sure place then
+        out = base.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    else:
+        is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
+        out = base.where(~is_long).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").unionByName(_scan(base.where(is_long), spec, chunk))
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
