@@ -7,8 +7,6 @@ right by the longest character n-gram that training saw at that place, then by s
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,9 +19,8 @@ from sparkloom.llm._common import held_out, pick, slices
 
 #: Bounds of the model: at most so many documents a language, words and n-grams in all.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, LONGEST = 2000, 6_000_000, 120_000, 60_000, 4
-#: A run of letters: what \w covers without decimal digits, the underscore and the other signs that count as numbers.
-_SIGNS = "".join(map(chr, (c for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))))
-LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+#: A run of letters, and of signs that count as numbers without being digits.
+_RUNS = re.compile(r"[^\W\d_]+")
 #: Up to so many languages, a table of them is broadcast.
 BROADCAST_LANGUAGES = 100_000
 #: Words that a worker remembers.
@@ -31,6 +28,16 @@ MEMO = 200_000
 UNDETERMINED = "und"
 
 
+def words_of(text: str) -> Counter:
+    """The runs of letters (Unicode's) of a text in lower case, with their numbers."""
+    counts = Counter(_RUNS.findall(text.lower()))
+    for w in [w for w in counts if not w.isalpha()]:
+        n = counts.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            counts[part] += n
+    return counts
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -66,7 +73,7 @@ def fit(texts: list[tuple[str, str]], max_words: int = MAX_WORDS, max_grams: int
     languages = sorted({lang for lang, _ in texts})
     words = {lang: Counter() for lang in languages}
     for lang, text in texts:
-        words[lang].update(LETTERS.findall(text.lower()))
+        words[lang].update(words_of(text))
     everything = Counter()
     for c in words.values():
         everything.update(c)
@@ -134,7 +141,7 @@ class _Teller:
         return [self.one(t) for t in texts]
 
     def one(self, text: str | None) -> tuple[str, float, int]:
-        counts = Counter(LETTERS.findall(text.lower())) if text else {}
+        counts = words_of(text) if text else {}
         if not counts or not self.model.languages:
             return UNDETERMINED, 0.0, 0
         rows = []
