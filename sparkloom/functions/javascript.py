@@ -6,8 +6,10 @@ inside a string or comment, has ``has_errors`` set, which switches call resoluti
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TOKEN = re.compile(
@@ -22,6 +24,8 @@ WORDS = BEFORE_REGEX | {"if", "for", "while", "switch", "catch", "function", "cl
 BRANCHES = {"if", "switch", "try", "for", "while", "do", "throw", "await", "yield", "return", "break", "continue"}
 CALLABLE = ("function", "arrow_function", "method", "test", "module")
 ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "**=", "<<=", ">>=", ">>>=", "&&=", "||=", "??="}
+#: The scope around all others, and the name under which a write to a computed member is noted.
+MODULE, COMPUTED = "<module>", "<computed-write>"
 
 
 @dataclass
@@ -67,6 +71,9 @@ def tokens(text: str) -> tuple[list[Tok], bool]:
                 out.append(Tok("regex", m[0], at, m.end(), line))
                 at = m.end()
                 continue
+        if text[at] == "'" and last is not None and last.kind == "name" and last.end == at and last.text not in WORDS:
+            at += 1  # an apostrophe of a word in markup
+            continue
         m = TOKEN.match(text, at)
         if not m:
             bad, at = True, at + 1
@@ -120,7 +127,8 @@ class Reader:
                     bad = True
         self.file.has_errors = bad or bool(stack)
         self.is_test = bool(re.search(r"(?:^|/)__tests__/|\.(?:test|spec)\.[cm]?jsx?$", path))
-        self.names: dict[str, int] = {}
+        self.writes: list[tuple[str, str, str]] = []
+        self.line_starts = [0, *(m.end() for m in re.finditer("\n", source))]
         prefix = [0]
         for c in source:
             prefix.append(prefix[-1] + len(c.encode("utf-8", "surrogatepass")))
@@ -130,6 +138,7 @@ class Reader:
         if self.file.has_errors:
             self.file.calls = []
         self.body(0, len(self.t), None)
+        self._finish()
         self._modules()
         if not any(s["kind"] in CALLABLE for s in self.file.symbols) and self.file.source.strip():
             self._chunks()
@@ -140,23 +149,52 @@ class Reader:
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
 
+    def span(self, begin: int, end: int) -> dict:
+        """Place, text and hash of the characters from begin to end."""
+        text = self.file.source[begin:end]
+        line = lambda at: bisect.bisect_right(self.line_starts, at)
+        return {
+            "start_line": line(begin), "end_line": line(max(begin, end - 1)), "start_byte": self.byte[begin], "end_byte": self.byte[end],
+            "source_text": text, "content_hash": hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(),
+        }
+
     def create(self, first: int, end: int, name: str, kind: str, parent: dict | None, params: list[str], method_kind: str = "normal") -> dict:
-        qualified = f"{parent['qualified_name']}.{name}" if parent else name
-        self.names[qualified] = self.names.get(qualified, 0) + 1
-        a, b = self.t[first], self.t[min(end, len(self.t)) - 1]
-        if self.names[qualified] > 1:
-            qualified += f"@{self.byte[a.at]}"
-        body = self.file.source[a.at : b.end]
-        s = {
-            "symbol_id": f"{self.file.path}::{qualified}", "qualified_name": qualified, "name": name, "kind": kind, "file_path": self.file.path,
-            "start_line": a.line, "end_line": b.line + b.text.count("\n"), "start_byte": self.byte[a.at], "end_byte": self.byte[b.end],
-            "parent_symbol_id": parent["symbol_id"] if parent else None, "source_text": body, "content_hash": hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(),
-            "parameters": params, "is_test": self.is_test, "method_kind": method_kind,
+        """Notes a symbol under a number; names that say where it is come when all are known.
+
+        It remembers the class whose ``this`` it sees (a plain function has one of its own) and the scope of its variables.
+        """
+        key = f"#{len(self.file.symbols)}"
+        around, outer = (parent["_class"], parent["_scope"]) if parent else (None, MODULE)
+        s = self.span(self.t[first].at, self.t[min(end, len(self.t)) - 1].end) | {
+            "symbol_id": key, "name": name, "kind": kind, "parent_symbol_id": parent and parent["symbol_id"], "parameters": params, "method_kind": method_kind,
+            "_class": key if kind == "class" else None if kind == "function" else around, "_scope": outer if kind == "class" else key,
         }
         self.file.symbols.append(s)
-        self.file.shadowed[s["symbol_id"]] = set(params)
+        self.file.shadowed[key] = set(params)
         return s
 
+    def _finish(self) -> None:
+        """Turns numbers into ids: path and qualified name, with the place of all but the first of an equal name."""
+        ids: dict[str | None, str] = {None: None, MODULE: MODULE}
+        qualified: dict[str | None, str] = {None: ""}
+        taken: set[str] = set()
+        for s in self.file.symbols:
+            plain = qualified[s["parent_symbol_id"]] + s["name"]
+            full = f"{plain}@{s['start_byte']}" if plain in taken else plain
+            taken.add(plain)
+            qualified[s["symbol_id"]], ids[s["symbol_id"]] = full + ".", f"{self.file.path}::{full}"
+            s |= {"qualified_name": full, "file_path": self.file.path, "is_test": self.is_test}
+            for k in ("_class", "_scope"):
+                del s[k]
+        for row, fields in [(s, ("symbol_id", "parent_symbol_id")) for s in self.file.symbols] + [(c, ("source", "class")) for c in self.file.calls]:
+            for k in fields:
+                row[k] = ids[row[k]]
+        self.file.shadowed = {ids[k]: v for k, v in self.file.shadowed.items()}
+        self.file.reassigned = {ids[k]: v for k, v in self.file.reassigned.items()}
+        times = Counter((scope, name) for scope, name, _ in self.writes)
+        for scope, name, made in self.writes:  # a name that is written twice is bound to nothing sure
+            self.file.bindings.setdefault(ids[scope], {})[name] = made if times[scope, name] == 1 else ""
+
     def parameters(self, a: int, b: int) -> list[str]:
         """Names bound by a parameter list or pattern: identifiers that are not keys or default values."""
         out, i = [], a
@@ -183,24 +221,6 @@ class Reader:
             i = self.match.get(i, i) + 1 if x in OPEN else i + 1
         return end
 
-    def scope(self, s: dict | None) -> str:
-        while s is not None and s["kind"] == "class":
-            s = next((x for x in self.file.symbols if x["symbol_id"] == s["parent_symbol_id"]), None)
-        return s["symbol_id"] if s else "<module>"
-
-    def class_of(self, s: dict | None) -> dict | None:
-        while s is not None:
-            if s["kind"] == "class":
-                return s
-            if s["kind"] == "function":
-                return None
-            s = next((x for x in self.file.symbols if x["symbol_id"] == s["parent_symbol_id"]), None)
-        return None
-
-    def bind(self, scope: str, name: str, value: str) -> None:
-        b = self.file.bindings.setdefault(scope, {})
-        b[name] = "" if name in b else value
-
     # the walk -----------------------------------------------------------------------------------------------
 
     def function(self, i: int, end: int, parent: dict | None, name: str, kind: str, first: int, method_kind: str = "normal") -> int | None:
@@ -249,7 +269,7 @@ class Reader:
                 after = self.function(j + 1, stop, c, name.strip("\"'"), "method", begin, method_kind)
                 j = after if after is not None else j + 1
             elif self.t[j].kind == "name" and self.text(j + 1) in ("=", ";"):
-                self.bind(c["symbol_id"], f"this.{name}", "")
+                self.writes.append((c["symbol_id"], f"this.{name}", ""))
                 if self.text(j + 1) == "=":
                     k = j + 2
                     if self.text(k) == "async":
@@ -307,8 +327,8 @@ class Reader:
             if x in ("const", "let", "var"):
                 self._declarators(i + 1, end, current)
             elif x == "catch" and self.text(i + 1) == "(":
-                self.file.shadowed.setdefault(self.scope(current), set()).update(self.parameters(i + 2, self.match.get(i + 1, i + 2)))
-            elif t.kind == "op" and (x in ASSIGN or x in ("++", "--")):
+                self.file.shadowed.setdefault(_scope(current), set()).update(self.parameters(i + 2, self.match.get(i + 1, i + 2)))
+            elif (t.kind == "op" and (x in ASSIGN or x in ("++", "--"))) or (x == "delete" and self.text(i - 1) != "."):
                 self._assignment(i, current, statement, direct_ok)
             elif x == "(" and i and not self.file.has_errors:
                 self._call(i, current, statement, depth_at, direct_ok)
@@ -368,7 +388,7 @@ class Reader:
         return j, "".join(self.text(k) for k in range(j, i + 1))
 
     def _declarators(self, i: int, end: int, current: dict | None) -> None:
-        scope = self.scope(current)
+        scope = _scope(current)
         while i < end:
             first = i
             if self.text(i) in ("{", "[") and i in self.match:
@@ -389,28 +409,32 @@ class Reader:
             else:
                 stop = i
             if self.t[first].kind == "name":
-                self.bind(scope, names[0], value)
+                self.writes.append((scope, names[0], value))
             if self.text(stop) != ",":
                 return
             i = stop + 1
 
     def _assignment(self, i: int, current: dict | None, statement: int, direct: bool) -> None:
-        j = i - 1 if self.text(i) not in ("++", "--") or self.t[i - 1].kind == "name" else i + 1
+        """A write by the operator at i (or a delete): the name is no longer what it was declared to be."""
+        j = i + 1 if self.text(i) == "delete" else i - 1 if self.text(i) not in ("++", "--") or self.t[i - 1].kind == "name" else i + 1
+        if self.text(i) == "delete":  # to the end of the member chain
+            while self.text(j + 1) in (".", "?.") or (self.text(j + 1) == "[" and j + 1 in self.match):
+                j = self.match[j + 1] if self.text(j + 1) == "[" else j + 2
         if j >= len(self.t) or j < 0:
             return
-        cls, scope = self.class_of(current), self.scope(current)
+        cls, scope = current and current["_class"], _scope(current)
         if self.text(j) == "]" and j in self.match and self.text(self.match[j] - 1) == "this" and cls:
-            self.file.bindings.setdefault(cls["symbol_id"], {})["<computed-write>"] = ""
+            self.writes.append((cls, COMPUTED, ""))
             return
         if self.t[j].kind != "name" or (self.text(i) == "=" and self._declared(j)):
             return
-        name = self._chain(j)[1]
+        first, name = self._chain(j)
         if not name:
             return
         self.file.reassigned.setdefault(scope, set()).add(name)
-        in_constructor = current is not None and current["name"] == "constructor" and self.text(i) == "=" and self._chain(j)[0] == statement
+        in_constructor = current is not None and current["name"] == "constructor" and self.text(i) == "=" and first == statement
         value = self.text(i + 2) if in_constructor and self.text(i + 1) == "new" and self.t[i + 2].kind == "name" else ""
-        self.bind(cls["symbol_id"] if cls and name.startswith("this.") else scope, name, value)
+        self.writes.append((cls if cls and name.startswith("this.") else scope, name, value))
 
     def _declared(self, j: int) -> bool:
         if self.text(j - 1) in ("const", "let", "var"):
@@ -435,14 +459,13 @@ class Reader:
                 return
         if self.text(j - 1) in ("new", "function", "class") or i not in self.match:
             return
-        cls = self.class_of(current)
         lead = [self.text(k) for k in range(statement, j)]
         plain = all(x in ("const", "let", "var", "=", "return", "await") or self.t[statement + k].kind == "name" for k, x in enumerate(lead)) and not any(x in OPEN for x in lead)
         close = self.match[i]
         direct = direct_ok and plain and "await" not in lead and self.text(close + 1) not in (".", "?.", "(", "[")
         self.file.calls.append({
             "source": current["symbol_id"], "callee": callee or self.file.source[self.t[j].at : before.end], "callee_type": "identifier" if callee and "." not in callee else "member_expression" if callee else "other",
-            "class": cls["symbol_id"] if cls else None, "line": self.t[j].line, "end_line": self.t[close].line, "start_byte": self.byte[self.t[j].at], "end_byte": self.byte[self.t[close].end],
+            "class": current["_class"], "line": self.t[j].line, "end_line": self.t[close].line, "start_byte": self.byte[self.t[j].at], "end_byte": self.byte[self.t[close].end],
             "expression": self.file.source[self.t[j].at : self.t[close].end], "statement_byte": self.byte[self.t[statement].at] if direct else None, "sequence_eligible": direct,
         })
 
@@ -571,17 +594,16 @@ class Reader:
                 f.exports[key] = symbol
 
     def _chunks(self, size: int = 80) -> None:
-        """Module chunks of a file without callables."""
-        rows, at = self.file.source.splitlines(keepends=True), 0
-        for i in range(0, len(rows), size):
-            text = "".join(rows[i : i + size])
-            data = text.encode("utf-8", "surrogatepass")
-            name = f"<module:{i // size + 1}>"
-            self.file.symbols.append({
-                "symbol_id": f"{self.file.path}::{name}", "qualified_name": name, "name": name, "kind": "module", "file_path": self.file.path, "start_line": i + 1, "end_line": i + len(rows[i : i + size]),
-                "start_byte": at, "end_byte": at + len(data), "parent_symbol_id": None, "source_text": text, "content_hash": hashlib.sha256(data).hexdigest(), "parameters": [], "is_test": self.is_test, "method_kind": "normal",
-            })
-            at += len(data)
+        """Parts of ``size`` lines stand in for the callables that a file lacks."""
+        edges = [at for at in self.line_starts[::size] if at < len(self.file.source)]
+        for n, (begin, end) in enumerate(zip(edges, [*edges[1:], len(self.file.source)], strict=True), 1):
+            name = f"<module:{n}>"
+            place = {"symbol_id": f"{self.file.path}::{name}", "qualified_name": name, "name": name, "kind": "module", "file_path": self.file.path, "parent_symbol_id": None, "parameters": [], "is_test": self.is_test, "method_kind": "normal"}
+            self.file.symbols.append(place | self.span(begin, end))
+
+
+def _scope(s: dict | None) -> str:
+    return s["_scope"] if s else MODULE
 
 
 def read(path: str, source: str) -> File:

@@ -11,22 +11,30 @@ STOP = (
     "after from into was be as by def else if import int list return str"
 ).split()
 
+# fixed values: what an identifier is and where its case changes
 #: An identifier; a letter class instead of \w, which Java and RE2 read as ASCII.
 IDENTIFIER = r"[A-Za-z_$][\p{L}\p{N}_$]*"
 WORD_CHAR = r"[\p{L}\p{N}_$]"
+#: An identifier of several parts; most words of prose are not, and are spared the splitting.
+COMPOUND = r"[_$]|[a-z0-9][A-Z]|[A-Z][A-Z][a-z]"
 
 
 def code_tokens(text: Column, stop: list[str] | tuple[str, ...] = STOP) -> Column:
     """Tokens of code: identifiers split at case changes, _ and $, in lower case, without stop words; an identifier of
     several parts is also kept whole.  Repeats stay."""
-    stops = F.array(*[F.lit(s) for s in stop])
+    none = F.array().cast("array<string>")
 
     def one(word: Column) -> Column:
+        whole = F.lower(word)
+        plain = F.when(whole.isin(*stop), none).otherwise(F.array(whole))
+        return F.when(word.rlike(COMPOUND), several(word)).otherwise(plain)
+
+    def several(word: Column) -> Column:
         spaced = F.regexp_replace(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
         parts = F.split(F.lower(spaced), r"[_$\s]+")
-        kept = F.filter(parts, lambda p: (p != "") & ~F.array_contains(stops, p))
+        kept = F.filter(parts, lambda p: (p != "") & ~p.isin(*stop))
         whole = F.lower(word)
-        return F.when((F.size(parts) > 1) & ~F.array_contains(stops, whole), F.concat(kept, F.array(whole))).otherwise(kept)
+        return F.when((F.size(parts) > 1) & ~whole.isin(*stop), F.concat(kept, F.array(whole))).otherwise(kept)
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), 0), one))
 

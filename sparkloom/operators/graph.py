@@ -94,34 +94,66 @@ def shortest(found: DataFrame) -> DataFrame:
     return found.withColumn("_m", least).where(F.size("path") == F.col("_m")).drop("_m")
 
 
-def could_go_on(adj: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
-    """source: those from which some simple path of ``max_depth`` edges has a further step, so that a search ends early."""
-    level = sources.select(F.col("id").alias("source"), F.array("id").alias("path"), F.col("id").alias("end"))
-    for _ in range(max_depth + 1):
-        level = level.join(adj, level["end"] == adj["src"]).where(~F.array_contains("path", F.col("dst"))).select("source", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
-        level = level.withColumn("_n", F.row_number().over(Window.partitionBy("source", "end").orderBy("path"))).where("_n <= 200").drop("_n")
-    return level.select("source").distinct()
-
-
-def reachability(adj: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """src, dst: the transitive closure, by doubling; every round is cut off the lineage by a checkpoint."""
-    closure, n = adj.select("src", "dst").distinct(), -1
-    for _ in range(max_rounds):
-        m = closure.count()
-        if m == n:
-            break
-        n = m
-        grown = closure.join(closure.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        closure = cut(closure.unionByName(grown).distinct())
-    return closure
+def cut_short(adj: DataFrame, pairs: DataFrame, max_depth: int, most: int = 10_000) -> DataFrame:
+    """source, target of the pairs for which a search must leave something out.
+
+    A search follows simple paths until they meet the target.  It leaves something out where a path of ``max_depth``
+    edges could have gone on, or where more than ``most`` paths grow for a pair (such a pair is not followed further).
+    """
+    live = pairs.select("source", "target").distinct().where("source != target").select("source", "target", F.array("source").alias("path"), F.col("source").alias("end"))
+    total = live.select("source", "target", F.lit(1).alias("n"))
+    out = None
+    for d in range(max_depth + 1):
+        grown = live.join(adj, live["end"] == adj["src"]).where(~F.array_contains("path", F.col("dst"))).select("source", "target", F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("end"))
+        grown = cut(grown)
+        if d == max_depth:
+            hit = grown.select("source", "target").distinct()
+            return hit if out is None else out.unionByName(hit).distinct()
+        total = total.unionByName(grown.groupBy("source", "target").agg(F.count("*").cast("int").alias("n"))).groupBy("source", "target").agg(F.sum("n").cast("int").alias("n"))
+        over = total.where(F.col("n") > most).select("source", "target")
+        out = over if out is None else out.unionByName(over)
+        live = grown.where("end != target").join(over, ["source", "target"], "left_anti")
+
+
+def statuses(adj: DataFrame, pairs: DataFrame, max_depth: int = 5, limit: int = 20) -> DataFrame:
+    """source, target, status, n_paths: SEARCH_LIMIT_REACHED where a search for ``limit`` paths leaves something out, else
+    SUPPORTED with paths, else NO_STATIC_PATH_FOUND."""
+    found = paths(adj, pairs, max_depth, limit + 1).groupBy("source", "target").agg(F.count("*").alias("n"))
+    short = cut_short(adj, pairs, max_depth).withColumn("_cut", F.lit(True))
+    both = pairs.select("source", "target").distinct().join(found, ["source", "target"], "left").join(short, ["source", "target"], "left")
+    n = F.coalesce("n", F.lit(0))
+    status = F.when(F.col("_cut") | (n > limit), "SEARCH_LIMIT_REACHED").when(n > 0, "SUPPORTED").otherwise("NO_STATIC_PATH_FOUND")
+    return both.select("source", "target", status.alias("status"), F.least(n, F.lit(limit)).alias("n_paths"))
+
+
+def _spread(adj: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, label: the smallest label of any node from which each can be reached (its own included)."""
+    mark = None
+    while True:
+        new = labels.join(adj, labels["id"] == adj["src"]).groupBy("dst").agg(F.min("label").alias("_in"))
+        labels = cut(labels.join(new, labels["id"] == new["dst"], "left").select("id", F.least("label", F.coalesce("_in", "label")).alias("label")))
+        now = labels.agg(F.count("*"), F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()
+        if mark == tuple(now):
+            return labels
+        mark = tuple(now)
 
 
 def strong_components(nodes: DataFrame, adj: DataFrame) -> DataFrame:
-    """id, component: the smallest node with which each is mutually reachable."""
-    c = reachability(adj)
-    mutual = c.join(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
-    m = mutual.groupBy("src").agg(F.min("dst").alias("m"))
-    return nodes.select("id").join(m.withColumnRenamed("src", "id"), "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("component"))
+    """id, component: the smallest node with which each is mutually reachable.
+
+    By colouring: every node takes the smallest node that reaches it as its colour; the nodes of a colour that reach
+    the colour's own node are its component and leave; the others go on.  Tables stay as large as the graph.
+    """
+    left, edges, out = cut(nodes.select("id").distinct()), adj, None
+    while left.limit(1).count():
+        colour = _spread(edges, left.select("id", F.col("id").alias("label"))).withColumnRenamed("label", "colour")
+        same = edges.join(colour.select(F.col("id").alias("src"), F.col("colour").alias("_a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("_b")), "dst").where("_a = _b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        start = colour.select("id", F.when(F.col("id") == F.col("colour"), F.col("colour")).alias("label"))
+        home = _spread(cut(same), start).where("label is not null").select("id", F.col("label").alias("component"))
+        out = home if out is None else out.unionByName(home)
+        left = cut(left.join(home, "id", "left_anti"))
+        edges = cut(edges.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    return out if out is not None else nodes.select("id", F.col("id").alias("component"))
 
 
 def layers(nodes: DataFrame, adj: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -172,19 +204,29 @@ def trace(symbols: DataFrame, adj: DataFrame, source: str, target: str, max_dept
     spark = symbols.sparkSession
     names = spark.createDataFrame([(source,), (target,)], "name string").distinct()
     hits = resolve(symbols, names).orderBy("name", "symbol_id").collect()  # the symbols of two names
-    every = symbols.where(F.col("name").isin(source, target) | F.col("qualified_name").isin(source, target) | F.col("symbol_id").isin(source, target)).select("symbol_id", "name", "qualified_name").limit(10_000).collect()
-    ids = {r["symbol_id"] for r in every}
-    for n in (source, target):
-        if n not in ids and sum(n in (r["name"], r["qualified_name"]) for r in every) > 1:
-            return {"status": "AMBIGUOUS_SYMBOL", "paths": [], "max_depth": max_depth}
+    as_id, as_name = F.col("symbol_id") == F.col("asked"), (F.col("name") == F.col("asked")) | (F.col("qualified_name") == F.col("asked"))
+    asked = symbols.select("symbol_id", "name", "qualified_name").join(F.broadcast(names.withColumnRenamed("name", "asked")), as_id | as_name)  # two names
+    twice = asked.groupBy("asked").agg(F.count_if(as_id).alias("ids"), F.count_if(as_name).alias("n")).where("ids = 0 and n > 1")
+    if twice.limit(1).count():
+        return {"status": "AMBIGUOUS_SYMBOL", "paths": [], "max_depth": max_depth, "ids": []}
     a = [r["symbol_id"] for r in hits if r["name"] == source]
     b = [r["symbol_id"] for r in hits if r["name"] == target]
-    cut = len(a) > ends or len(b) > ends
+    short = len(a) > ends or len(b) > ends
     pairs = [(x, y) for x in a[:ends] for y in b[:ends]]
     found = []
     if pairs:
-        got = paths(adj, spark.createDataFrame(pairs, "source string, target string"), max_depth, limit)
+        ask = spark.createDataFrame(pairs, "source string, target string")
+        got = paths(adj, ask, max_depth, limit)
         found = sorted([r["path"] for r in got.select("path").collect()], key=lambda p: (len(p), p))[:limit]  # limit a pair
-        cut = cut or bool(could_go_on(adj, spark.createDataFrame([(x,) for x in a[:ends]], "id string"), max_depth).limit(1).count())
-    status = "SEARCH_LIMIT_REACHED" if cut else "SUPPORTED" if found else "NO_STATIC_PATH_FOUND"
-    return {"status": status, "paths": found, "max_depth": max_depth}
+        short = short or bool(statuses(adj, ask, max_depth, limit).where("status = 'SEARCH_LIMIT_REACHED'").limit(1).count())
+    status = "SEARCH_LIMIT_REACHED" if short else "SUPPORTED" if found else "NO_STATIC_PATH_FOUND"
+    return {"status": status, "paths": found, "max_depth": max_depth, "ids": sorted({s for p in found for s in p}) or sorted({*a, *b})[:30]}
+
+
+def subgraph(symbols: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): the symbols with the given ids (id) that can be called, and the edges between two of them."""
+    ids = small(ids.select(F.col("id").alias("symbol_id")).distinct())
+    nodes = symbols.where(F.col("kind") != "class").join(ids, "symbol_id", "left_semi").select("symbol_id", "qualified_name", "file_path", "start_line", "end_line", "kind")
+    ends = small(nodes.select("symbol_id"))
+    inside = edges.join(ends.withColumnRenamed("symbol_id", "src"), "src", "left_semi").join(ends.withColumnRenamed("symbol_id", "dst"), "dst", "left_semi")
+    return nodes, inside

@@ -8,36 +8,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import code_tokens
-from sparkloom.operators._size import small
+from sparkloom.operators._size import saved, small
 from sparkloom.settings import DEFAULT
 
 
 @dataclass
 class LexicalIndex:
-    """tf: doc_id, term, tf, len; df: term, df, idf; stats: n_docs, avg_len; titles: doc_id, term (distinct)."""
+    """tf: doc_id, term, tf, len, written once; stats: n_docs, avg_len; titles: doc_id, term (distinct)."""
 
     tf: DataFrame
-    df: DataFrame
     stats: DataFrame
     titles: DataFrame | None = None
 
-    def postings(self, k1: float = DEFAULT.k1, b: float = DEFAULT.b) -> DataFrame:
-        """term, doc_id, impact."""
-        norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("len") / F.col("avg_len"))
-        impact = F.col("idf") * F.col("tf") * (F.lit(k1) + 1) / (F.col("tf") + norm)
-        return self.tf.join(self.df, "term").crossJoin(F.broadcast(self.stats)).select("term", "doc_id", impact.alias("impact"))  # stats is one row
+    def weights(self, terms: DataFrame | None = None) -> DataFrame:
+        """term, df, idf of all terms, or of those in ``terms`` (term, distinct)."""
+        tf = self.tf if terms is None else self.tf.join(terms, "term", "left_semi")
+        df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(self.stats.select("n_docs")))  # stats is one row
+        return df.select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """The postings of query terms (query_id, term, times), with idf, n_docs and avg_len.
+
+        Only postings of query terms leave the scan: the terms, if few, are broadcast to it.
+        """
+        idf = small(self.weights(small(terms.select("term").distinct())))
+        weighted = small(terms.join(idf, "term"))
+        return self.tf.join(weighted, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
 
 
 def build(docs: DataFrame, tokens=code_tokens, text: str = "text", title: str | None = None) -> LexicalIndex:
-    """The index of ``docs`` (doc_id, text and maybe a title).  A text without tokens counts one ``__empty__``."""
+    """The index of ``docs`` (doc_id, text and maybe a title).  A text without tokens counts one ``__empty__``.
+
+    Texts are read and cut into tokens once; everything else comes from the table of term frequencies.
+    """
     some = F.when(F.size("_t") == 0, F.array(F.lit("__empty__"))).otherwise(F.col("_t"))
-    toks = docs.select(F.col("doc_id"), tokens(F.col(text)).alias("_t"), *([F.col(title).alias("_title")] if title else [])).withColumn("_t", some)
-    tf = toks.select("doc_id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    stats = toks.agg(F.count("*").alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n_docs")))
-    df = df.select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    titles = toks.select("doc_id", F.explode(F.array_distinct(tokens(F.col("_title")))).alias("term")) if title else None
-    return LexicalIndex(tf, df, stats, titles)
+    toks = docs.select("doc_id", tokens(F.col(text)).alias("_t")).withColumn("_t", some)
+    tf = saved(toks.select("doc_id", F.size("_t").alias("len"), F.explode("_t").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+    stats = saved(tf.agg(F.sum("tf").alias("_all")).crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs")))).select("n_docs", (F.col("_all") / F.col("n_docs")).alias("avg_len")))  # one row
+    titles = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col(title)))).alias("term")) if title else None
+    return LexicalIndex(tf, stats, titles)
 
 
 def query_terms(queries: DataFrame, tokens=code_tokens) -> DataFrame:
@@ -47,10 +56,12 @@ def query_terms(queries: DataFrame, tokens=code_tokens) -> DataFrame:
 
 def scores(index: LexicalIndex, queries: DataFrame, k1: float = DEFAULT.k1, b: float = DEFAULT.b, tokens=code_tokens, title_weight: float = DEFAULT.title_weight, text_weight: float = DEFAULT.text_weight) -> DataFrame:
     """query_id, doc_id, score > 0, rounded to nine places so that equal sums tie whatever their order."""
-    terms = small(query_terms(queries, tokens))
-    parts = index.postings(k1, b).join(terms, "term").select("query_id", "doc_id", (F.lit(text_weight) * F.col("impact") * F.col("times")).alias("s"))
+    terms = query_terms(queries, tokens)
+    impact = F.col("idf") * F.col("tf") * (F.lit(k1) + 1) / (F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("len") / F.col("avg_len")))
+    parts = index.hits(terms).select("query_id", "doc_id", (F.lit(text_weight) * impact * F.col("times")).alias("s"))
     if index.titles is not None:
-        titled = index.titles.join(terms, "term").join(index.df, "term")
+        idf = small(index.weights(small(terms.select("term").distinct())))
+        titled = index.titles.join(small(terms.join(idf, "term")), "term")
         parts = parts.unionByName(titled.select("query_id", "doc_id", (F.lit(title_weight) * F.col("idf") * F.col("times")).alias("s")))
     return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score")).where("score > 0")
 
@@ -65,7 +76,7 @@ def grid(index: LexicalIndex, queries: DataFrame, settings: list[tuple[float, fl
     """k1, b, query_id, doc_id, score for all settings in one job: settings are rows that meet the term frequencies."""
     spark = queries.sparkSession
     conf = spark.createDataFrame(settings, "k1 double, b double")
-    hits = index.tf.join(small(query_terms(queries, tokens)), "term").join(index.df, "term").crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(conf))
+    hits = index.hits(query_terms(queries, tokens)).crossJoin(F.broadcast(conf))  # the settings of one grid
     norm = F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("len") / F.col("avg_len"))
     s = F.col("times") * F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + norm)
     return hits.groupBy("k1", "b", "query_id", "doc_id").agg(F.round(F.sum(s), 9).alias("score")).where("score > 0")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import name_terms, operator_evidence
 
+# fixed values: the features in their order
 FEATURES = ("dense", "word_overlap", "rare_overlap", "identifier_overlap", "number_overlap", "operator_overlap", "document_log_tokens")
-# fixed values: the operator words among a question's terms
+# fixed values: keywords that are written like names, and the operator words among a question's terms
+CAPITAL_KEYWORDS = ("False", "None", "True")
 OPERATORS = ("xor", "gcd", "lcm", "modulo", "sort", "binary", "factorial", "prime", "palindrome")
 
 
@@ -44,7 +46,7 @@ def features(run: DataFrame, idf: DataFrame | None = None) -> DataFrame:
     """
     q, d = name_terms(F.col("query")), name_terms(F.col("text"))
     rows = run.withColumn("_q", q).withColumn("_d", d).withColumn("_s", F.array_intersect("_q", "_d"))
-    names = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z_0-9]*"), 0), lambda n: n.contains("_") | (F.lower(n) != n))
+    names = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z_0-9]*"), 0), lambda n: (n.contains("_") | (F.lower(n) != n)) & ~n.isin(*CAPITAL_KEYWORDS))
     names = F.array_distinct(F.transform(names, F.lower))
     qnames = F.array_distinct(F.transform(F.regexp_extract_all("query", F.lit("[A-Za-z_][A-Za-z_0-9]*"), 0), F.lower))
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b[0-9]{2,}\b"), 0))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions.vectors import norm
-from sparkloom.operators import dense, evaluation, fusion, graph, lexical, rerank, versions
+from sparkloom.operators import dense, evaluation, fusion, graph, lexical, rerank, structure, versions
 from sparkloom.operators._size import cut
+from sparkloom.sources import corpora, store
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -408,15 +409,8 @@ def edge_multiset_diff(spark, d):
     return c.groupBy("user_id", "event_type", "change").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {DENSE}, a AS (SELECT doc_id, rank FROM drun WHERE query_id = 0 AND rank <= 20), b AS (SELECT doc_id, rank FROM lrun WHERE query_id = 0 AND rank <= 20) SELECT coalesce(a.doc_id, b.doc_id)::VARCHAR AS symbol_id, a.rank::INT AS rank_a, b.rank::INT AS rank_b, (a.rank - b.rank)::INT AS delta, row_number() OVER (ORDER BY coalesce(b.rank, 100), coalesce(a.doc_id, b.doc_id)::VARCHAR)::INT AS position FROM a FULL JOIN b ON a.doc_id = b.doc_id")
-def rank_changes(spark, d):
-    """How a query's results moved between two versions."""
-    cut = lambda r: lexical.ranked(r(spark, d).where("query_id = 0"), 20).select(F.col("doc_id").cast("string").alias("symbol_id"), "rank")
-    return versions.rank_changes(cut(_dense), cut(_lexical_labels))
-
-
 @query(f"WITH {DENSE}, a AS (SELECT query_id, doc_id, rank FROM drun WHERE rank <= 20), b AS (SELECT query_id, doc_id, rank FROM lrun WHERE rank <= 20) SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id)::VARCHAR AS symbol_id, a.rank::INT AS rank_a, b.rank::INT AS rank_b, (a.rank - b.rank)::INT AS delta, row_number() OVER (PARTITION BY coalesce(a.query_id, b.query_id) ORDER BY coalesce(b.rank, 100), coalesce(a.doc_id, b.doc_id)::VARCHAR)::INT AS position FROM a FULL JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id")
-def rank_changes_all(spark, d):
+def rank_changes(spark, d):
     """How the results of all queries moved between two versions."""
     top = lambda r: lexical.ranked(r(spark, d), 20).select("query_id", F.col("doc_id").cast("string").alias("symbol_id"), "rank")
     return versions.rank_changes(top(_dense), top(_lexical_labels), ["query_id"])
@@ -426,7 +420,7 @@ def rank_changes_all(spark, d):
 
 
 def _graph(spark, d):
-    """Suppliers and customers as nodes; an edge from a supplier to each of seven keys that its own key gives."""
+    """Suppliers as nodes; an edge from a supplier to each of three keys that its own key gives."""
     nodes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"))
     n = nodes.count()
     e = nodes.select(F.col("id").alias("src"), F.explode(F.array(*[F.lit(k) for k in (2, 3, 7)])).alias("m")).select("src", ((F.col("src") * F.col("m") + F.col("m")) % n + 1).alias("dst"))
@@ -446,61 +440,25 @@ def graph_degree(spark, d):
     return graph.degrees(_graph(spark, d)[1])
 
 
-@query(f"WITH {GRAPH} SELECT dst AS id, src AS caller FROM adj WHERE dst % 5 = 0")
-def callers(spark, d):
-    """Who points to every fifth node."""
-    nodes, adj = _graph(spark, d)
-    return graph.callers(adj, nodes.where("id % 5 = 0"))
-
-
-@query(f"WITH RECURSIVE {GRAPH}, h(start, id, distance) AS (SELECT id, id, 0 FROM nodes WHERE id % 25 = 1 UNION SELECT h.start, nb.dst, h.distance + 1 FROM h JOIN nb ON nb.src = h.id WHERE h.distance < 3) SELECT start, id, min(distance)::INT AS distance FROM h GROUP BY 1, 2")
-def khop(spark, d):
-    """Neighbourhoods of three steps, either way."""
-    nodes, adj = _graph(spark, d)
-    return graph.k_hop(adj, nodes.where("id % 25 = 1"), 3)
-
-
-PATHS = f"""WITH RECURSIVE {GRAPH}, ends AS (SELECT a.id AS source, b.id AS target FROM nodes a, nodes b WHERE a.id % 25 = 1 AND b.id % 25 = 3),
-p(source, target, path, last) AS (SELECT source, target, [source], source FROM ends UNION ALL
- SELECT p.source, p.target, list_append(p.path, adj.dst), adj.dst FROM p JOIN adj ON adj.src = p.last WHERE p.last <> p.target AND len(p.path) <= 4 AND NOT list_contains(p.path, adj.dst)),
-f AS (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) AS n, min(len(path)) OVER (PARTITION BY source, target) AS least FROM p WHERE last = target)
-"""
-
-
-def _paths(spark, d, limit):
-    nodes, adj = _graph(spark, d)
-    a = nodes.where("id % 25 = 1").select(F.col("id").alias("source"))
-    b = nodes.where("id % 25 = 3").select(F.col("id").alias("target"))
-    return graph.paths(adj, a.crossJoin(F.broadcast(b)), 4, limit)
-
-
-@query(f"{PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE n <= 20")
-def bounded_paths(spark, d):
-    """Up to twenty simple paths of four edges at most."""
-    return _paths(spark, d, 20).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
-@query(f"{PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE len(path) = least")
-def shortest_paths(spark, d):
-    """The shortest of them."""
-    return graph.shortest(_paths(spark, d, None)).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
-
-
 @query(f"WITH {GRAPH} SELECT dst AS id, src AS caller FROM adj")
-def callers_all(spark, d):
+def callers(spark, d):
     """Who points to every node."""
     nodes, adj = _graph(spark, d)
     return graph.callers(adj, nodes)
 
 
 @query(f"WITH RECURSIVE {GRAPH}, h(start, id, distance) AS (SELECT id, id, 0 FROM nodes UNION SELECT h.start, nb.dst, h.distance + 1 FROM h JOIN nb ON nb.src = h.id WHERE h.distance < 3) SELECT start, id, min(distance)::INT AS distance FROM h GROUP BY 1, 2")
-def khop_all(spark, d):
+def khop(spark, d):
     """Neighbourhoods of three steps around all nodes, either way."""
     nodes, adj = _graph(spark, d)
     return graph.k_hop(adj, nodes, 3)
 
 
-ALL_PATHS = PATHS.replace(" WHERE a.id % 25 = 1 AND b.id % 25 = 3", "")
+PATHS = f"""WITH RECURSIVE {GRAPH}, ends AS (SELECT a.id AS source, b.id AS target FROM nodes a, nodes b),
+p(source, target, path, last) AS (SELECT source, target, [source], source FROM ends UNION ALL
+ SELECT p.source, p.target, list_append(p.path, adj.dst), adj.dst FROM p JOIN adj ON adj.src = p.last WHERE p.last <> p.target AND len(p.path) <= 4 AND NOT list_contains(p.path, adj.dst)),
+f AS (SELECT source, target, path, row_number() OVER (PARTITION BY source, target ORDER BY len(path), path) AS n, min(len(path)) OVER (PARTITION BY source, target) AS least FROM p WHERE last = target)
+"""
 
 
 def _all_paths(spark, d, limit):
@@ -510,14 +468,14 @@ def _all_paths(spark, d, limit):
     return graph.paths(adj, cut(pairs), 4, limit)
 
 
-@query(f"{ALL_PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE n <= 20")
-def bounded_paths_all(spark, d):
+@query(f"{PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE n <= 20")
+def bounded_paths(spark, d):
     """Up to twenty simple paths of four edges at most, of all pairs."""
     return _all_paths(spark, d, 20).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(f"{ALL_PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE len(path) = least")
-def shortest_paths_all(spark, d):
+@query(f"{PATHS} SELECT source, target, array_to_string(path, '>') AS path FROM f WHERE len(path) = least")
+def shortest_paths(spark, d):
     """The shortest of them."""
     return graph.shortest(_all_paths(spark, d, None)).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -531,9 +489,9 @@ def strong_components(spark, d):
 @query("WITH c AS (SELECT conv_id, turn, role FROM conversations) SELECT a.conv_id, a.turn AS before, b.turn AS after, a.role AS before_role, b.role AS after_role FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn")
 def sequence_pairs(spark, d):
     """Ordered pairs of turns of one conversation."""
-    c = table(spark, d, "conversations").select("conv_id", "turn", "role")
-    a, b = c.select("conv_id", F.col("turn").alias("before"), F.col("role").alias("before_role")), c.select("conv_id", F.col("turn").alias("after"), F.col("role").alias("after_role"))
-    return a.join(b, "conv_id").where("before < after")
+    c = table(spark, d, "conversations")
+    edges = c.select(F.col("conv_id").alias("src"), F.struct("turn", "role").alias("dst"), F.col("turn").alias("line"), F.col("turn").alias("statement_byte"), F.lit(True).alias("sequence_eligible"))
+    return structure.sequences(edges).select(F.col("caller").alias("conv_id"), F.col("before.turn").alias("before"), F.col("after.turn").alias("after"), F.col("before.role").alias("before_role"), F.col("after.role").alias("after_role"))
 
 
 @query("WITH t AS (SELECT conv_id, turn, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM conversations), sp AS (SELECT conv_id, turn, s AS b, s + n AS e FROM t UNION ALL SELECT conv_id, -1, 0, sum(n) FROM t GROUP BY 1), x AS (SELECT conv_id, turn AS point, (s + n // 2) AS at FROM t) SELECT x.conv_id, x.point, min_by(sp.turn, (sp.e - sp.b) * 100000 + sp.turn) AS innermost FROM x JOIN sp ON sp.conv_id = x.conv_id AND sp.b <= x.at AND x.at < sp.e GROUP BY 1, 2")
@@ -544,8 +502,9 @@ def interval_innermost(spark, d):
     t = t.withColumn("s", F.coalesce(F.sum("n").over(before), F.lit(0)))
     spans = t.select("conv_id", "turn", F.col("s").alias("b"), (F.col("s") + F.col("n")).alias("e")).unionByName(t.groupBy("conv_id").agg(F.lit(-1).cast("long").alias("turn"), F.lit(0).cast("long").alias("b"), F.sum("n").alias("e")))
     x = t.select("conv_id", F.col("turn").alias("point"), (F.col("s") + F.floor(F.col("n") / 2)).alias("at"))
-    hit = x.join(spans, "conv_id").where("b <= at and at < e")
-    return hit.groupBy("conv_id", "point").agg(F.min_by("turn", (F.col("e") - F.col("b")) * 100000 + F.col("turn")).alias("innermost"))
+    spans = spans.select(F.col("conv_id").alias("path"), F.col("turn").alias("symbol_id"), F.col("b").alias("start_byte"), F.col("e").alias("end_byte"))
+    hit = structure.innermost(x.select(F.col("conv_id").alias("path"), "at").distinct(), spans)
+    return x.join(hit.withColumnsRenamed({"path": "conv_id", "symbol_id": "innermost"}), ["conv_id", "at"]).select("conv_id", "point", "innermost")
 
 
 @query(f"SELECT conv_id, turn, {X.intent_sql('text')} AS intent FROM conversations")
@@ -554,32 +513,46 @@ def intent_classify(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.intent(F.col("text")).alias("intent"))
 
 
-@query(f"WITH q AS (SELECT conv_id, text FROM conversations WHERE turn = 0), c AS (SELECT conv_id, text FROM conversations WHERE turn = 1) SELECT q.conv_id, {X.operator_evidence_sql('q.text', 'c.text')} AS evidence FROM q JOIN c USING (conv_id)")
-def operator_evidence(spark, d):
-    """Whether an answer shows an operator that the question names."""
-    c = table(spark, d, "conversations")
-    q, a = c.where("turn = 0").select("conv_id", F.col("text").alias("q")), c.where("turn = 1").select("conv_id", F.col("text").alias("a"))
-    return q.join(a, "conv_id").select("conv_id", X.operator_evidence(F.col("q"), F.col("a")).alias("evidence"))
-
-
 @query(f"WITH p AS (SELECT conv_id, turn, text, lead(text) OVER w AS answer, lead(turn) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)) SELECT conv_id, turn, {X.operator_evidence_sql('text', 'answer')} AS evidence FROM p WHERE next IS NOT NULL")
-def operator_evidence_turns(spark, d):
+def operator_evidence(spark, d):
     """Whether the turn after each turn shows an operator that it names."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     p = table(spark, d, "conversations").select("conv_id", "turn", "text", F.lead("text").over(w).alias("answer"), F.lead("turn").over(w).alias("next"))
     return p.where("next is not null").select("conv_id", "turn", X.operator_evidence(F.col("text"), F.col("answer")).alias("evidence"))
 
 
-FEATURE = _bm25_sql() + f""", f AS (SELECT run.query_id, run.doc_id, run.score, b.text AS q, dd.text AS t, {X.name_terms_sql('b.text')} AS qs, {X.name_terms_sql('dd.text')} AS ds FROM run JOIN benchmark b ON b.item_id = run.query_id JOIN documents dd ON dd.doc_id = run.doc_id WHERE rank <= 10)
+NAMES = "[A-Za-z_][A-Za-z_0-9]*"
+OPERATOR_LIST = "[" + ", ".join(f"'{o}'" for o in rerank.OPERATORS) + "]"
+FEATURE = _bm25_sql() + f""",
+terms AS (SELECT doc_id, {X.name_terms_sql('text')} AS ds, text AS t FROM documents),
+idf AS (SELECT term, ln((n + 1)::DOUBLE / (df + 1)) + 1 AS w FROM (SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(ds) AS term FROM terms) GROUP BY 1), (SELECT count(*) AS n FROM documents)),
+qs AS (SELECT item_id AS query_id, text AS q, {X.name_terms_sql('text')} AS qs FROM benchmark),
+f AS (SELECT run.query_id, run.doc_id, run.score, q, t, qs, ds, list_distinct(list_transform(list_filter(regexp_extract_all(t, '{NAMES}'), lambda n: (contains(n, '_') OR lower(n) <> n) AND n NOT IN ('False', 'None', 'True')), lambda n: lower(n))) AS names,
+ list_distinct(list_transform(regexp_extract_all(q, '{NAMES}'), lambda n: lower(n))) AS qnames, list_distinct(regexp_extract_all(q, '\\b[0-9]{{2,}}\\b')) AS qnums, list_distinct(regexp_extract_all(t, '\\b[0-9]{{2,}}\\b')) AS dnums, list_intersect({OPERATOR_LIST}, qs) AS ops
+ FROM run JOIN qs USING (query_id) JOIN terms USING (doc_id) WHERE rank <= 10),
+alls AS (SELECT query_id, sum(w) AS w FROM (SELECT query_id, unnest(qs) AS term FROM qs) JOIN idf USING (term) GROUP BY 1),
+part AS (SELECT query_id, doc_id, sum(w) AS w FROM (SELECT query_id, doc_id, unnest(list_intersect(qs, ds)) AS term FROM f) JOIN idf USING (term) GROUP BY 1, 2)
 """
 
 
-@query(f"WITH {FEATURE} SELECT query_id, doc_id, round(len(list_intersect(qs, ds)) / greatest(1.0::DOUBLE, len(qs)), 6) AS word_overlap, round(ln(1 + len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+'))::DOUBLE), 6) AS document_log_tokens FROM f")
+@query(
+    f"""WITH {FEATURE} SELECT query_id, doc_id, round(score, 6) AS dense, round(len(list_intersect(qs, ds)) / greatest(1.0::DOUBLE, len(qs)), 6) AS word_overlap, round(coalesce(part.w, 0) / greatest(1.0::DOUBLE, coalesce(alls.w, 0)), 6) AS rare_overlap,
+round(len(list_intersect(names, qnames)) / greatest(1.0::DOUBLE, len(qnames)), 6) AS identifier_overlap, round(len(list_intersect(qnums, dnums)) / greatest(1.0::DOUBLE, len(qnums)), 6) AS number_overlap,
+round(len(list_intersect(ops, ds)) / greatest(1.0::DOUBLE, len(ops)), 6) AS operator_overlap, round(ln(1 + len(regexp_extract_all(t, '[A-Za-z]+|[0-9]+'))::DOUBLE), 6) AS document_log_tokens
+FROM f LEFT JOIN alls USING (query_id) LEFT JOIN part USING (query_id, doc_id)"""
+)
 def feature_rerank(spark, d):
-    """Features of the ten best documents of each passage."""
+    """The seven features of the ten best documents of each passage."""
     items, docs = _items(spark, d), _docs(spark, d).select("doc_id", "text")
     run = lexical.ranked(lexical.scores(lexical.build(_docs(spark, d)), items), 10).join(items, "query_id").join(docs, "doc_id")
-    return rerank.features(run).select("query_id", "doc_id", F.round("word_overlap", 6).alias("word_overlap"), F.round("document_log_tokens", 6).alias("document_log_tokens"))
+    out = rerank.features(cut(run), rerank.term_idf(docs))
+    return out.select("query_id", "doc_id", *[F.round(c, 6).alias(c) for c in rerank.FEATURES])
+
+
+@query(f"WITH t AS (SELECT doc_id, {X.name_terms_sql('text')} AS ds FROM documents) SELECT term, round(ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) + 1, 9) AS idf FROM (SELECT doc_id, unnest(ds) AS term FROM t) GROUP BY term")
+def term_idf(spark, d):
+    """Weights of all name terms."""
+    return rerank.term_idf(_docs(spark, d)).select("term", F.round("idf", 9).alias("idf"))
 
 
 @query("WITH e AS (SELECT embedding AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) SELECT count(*) AS rows, count(*) FILTER (n = 0) AS zero_rows, count(*) FILTER (NOT isfinite(n)) AS not_finite, round(min(n), 6) AS least, round(max(n), 6) AS most, round(avg(n), 6) AS mean, count(DISTINCT len(v)) AS dims FROM e")
@@ -601,9 +574,236 @@ def integrity_ids(spark, d):
 def vector_reuse(spark, d):
     """Texts whose vectors a cache keyed by content already has, and those to encode."""
     docs = _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("h"))
-    cache = docs.where("doc_id % 2 = 0").select("h").distinct().withColumn("hit", F.lit(True))
-    return docs.where("doc_id % 2 = 1").join(cache, "h", "left").agg(F.count_if(F.col("hit")).alias("reused"), F.count_if(F.col("hit").isNull()).alias("missing"))
+    cache = docs.where("doc_id % 2 = 0").select(F.col("h").alias("text_hash"), F.lit("m").alias("model"), F.lit(None).cast("array<float>").alias("vector"))
+    asked = docs.where("doc_id % 2 = 1").select(F.col("h").alias("text_hash"), F.col("h").alias("text"))
+    missing = store.missing_vectors(asked, cache, "m").select("text_hash", F.lit(True).alias("lacks"))
+    return asked.join(missing, "text_hash", "left").agg(F.count_if(F.col("lacks").isNull()).alias("reused"), F.count_if(F.col("lacks")).alias("missing"))
+
+
+# trace, maps, structure -------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH RECURSIVE {GRAPH}, ends AS (SELECT a.id AS source, b.id AS target FROM nodes a, nodes b),
+p(source, target, path, last) AS (SELECT source, target, [source], source FROM ends UNION ALL
+ SELECT p.source, p.target, list_append(p.path, adj.dst), adj.dst FROM p JOIN adj ON adj.src = p.last WHERE p.last <> p.target AND len(p.path) <= 3 AND NOT list_contains(p.path, adj.dst)),
+f AS (SELECT source, target, count(*) AS n FROM p WHERE last = target GROUP BY 1, 2),
+c AS (SELECT DISTINCT p.source, p.target FROM p JOIN adj ON adj.src = p.last WHERE p.last <> p.target AND len(p.path) = 4 AND NOT list_contains(p.path, adj.dst))
+SELECT ends.source, ends.target, CASE WHEN c.source IS NOT NULL OR coalesce(f.n, 0) > 20 THEN 'SEARCH_LIMIT_REACHED' WHEN f.n > 0 THEN 'SUPPORTED' ELSE 'NO_STATIC_PATH_FOUND' END AS status,
+least(coalesce(f.n, 0), 20)::INT AS n_paths FROM ends JOIN (SELECT DISTINCT start, id FROM near) k ON k.start = ends.source AND k.id = ends.target LEFT JOIN f USING (source, target) LEFT JOIN c USING (source, target)""".replace(
+        "ends AS (SELECT a.id", "near(start, id, d) AS (SELECT id, id, 0 FROM nodes UNION SELECT near.start, adj.dst, near.d + 1 FROM near JOIN adj ON adj.src = near.id WHERE near.d < 3), ends AS (SELECT a.id"
+    )
+)
+def trace_status(spark, d):
+    """What a search for paths of three edges can say, for every pair that three steps connect."""
+    nodes, adj = _graph(spark, d)
+    pairs = graph.k_hop(adj, nodes, 3, "out").select(F.col("start").alias("source"), F.col("id").alias("target"))
+    return graph.statuses(adj, cut(pairs), 3).select("source", "target", "status", F.col("n_paths").cast("int").alias("n_paths"))
+
+
+def _symbols(spark, d):
+    """Parts as symbols of their brands' files; an edge from a part to the next one of an order."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol_id"), F.col("p_name").alias("name"), F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_brand").alias("file_path"), F.lit("function").alias("kind"))
+    edges = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("part"), "l_linenumber")
+    a, b = edges.select("l_orderkey", F.col("part").alias("src"), "l_linenumber"), edges.select("l_orderkey", F.col("part").alias("dst"), (F.col("l_linenumber") - 1).alias("l_linenumber"))
+    return part, a.join(b, ["l_orderkey", "l_linenumber"]).select("src", "dst", F.col("l_linenumber").alias("line"))
+
+
+SYMBOLS = """
+sym AS (SELECT p_partkey::VARCHAR AS symbol_id, p_name AS name, p_brand || '.' || p_name AS qualified_name, p_brand AS file_path FROM part),
+edge AS (SELECT a.l_partkey::VARCHAR AS src, b.l_partkey::VARCHAR AS dst, a.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+"""
+
+
+@query(f"WITH {SYMBOLS}, p AS (SELECT DISTINCT x.file_path AS a, y.file_path AS b FROM edge JOIN sym x ON x.symbol_id = src JOIN sym y ON y.symbol_id = dst WHERE x.file_path <> y.file_path), e AS (SELECT a AS f FROM p UNION ALL SELECT b FROM p) SELECT f.file_path, coalesce(g.n, 0)::BIGINT AS degree FROM (SELECT DISTINCT file_path FROM sym) f LEFT JOIN (SELECT f, count(*) AS n FROM e GROUP BY f) g ON g.f = f.file_path ORDER BY degree DESC, file_path LIMIT 150")
+def file_map(spark, d):
+    """The most connected files."""
+    symbols, edges = _symbols(spark, d)
+    return graph.file_map(edges, symbols)[0].select("file_path", F.col("degree").cast("long").alias("degree"))
+
+
+@query(f"WITH {SYMBOLS} SELECT DISTINCT x.file_path AS a, y.file_path AS b FROM edge JOIN sym x ON x.symbol_id = src JOIN sym y ON y.symbol_id = dst WHERE x.file_path <> y.file_path")
+def file_pairs(spark, d):
+    """Files that call each other."""
+    symbols, edges = _symbols(spark, d)
+    return graph.file_map(edges, symbols)[1]
+
+
+@query(f"WITH {SYMBOLS}, asked AS (SELECT DISTINCT name FROM sym UNION SELECT symbol_id FROM sym) SELECT a.name, s.symbol_id, s.symbol_id <> a.name AND count(*) OVER (PARTITION BY a.name, s.symbol_id = a.name) > 1 AS ambiguous FROM asked a JOIN sym s ON s.symbol_id = a.name OR s.name = a.name OR s.qualified_name = a.name")
+def resolve_names(spark, d):
+    """The symbols that every id and every name stands for."""
+    symbols, _ = _symbols(spark, d)
+    symbols = symbols.withColumn("parent_symbol_id", F.lit(None).cast("string"))
+    asked = symbols.select("name").union(symbols.select("symbol_id")).distinct()
+    return graph.resolve(symbols, asked)
+
+
+@query(f"WITH {GRAPH}, s AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM nb) WHERE n <= 50), h AS (SELECT n.id AS seed, s.dst AS id, 1 AS distance FROM nodes n JOIN s ON s.src = n.id UNION ALL SELECT n.id, t.dst, 2 FROM nodes n JOIN s ON s.src = n.id JOIN s t ON t.src = s.dst) SELECT id, min(distance)::INT AS distance FROM h WHERE id <> seed GROUP BY id")
+def distance_map(spark, d):
+    """How far every node is from the nearest other one within two steps."""
+    nodes, adj = _graph(spark, d)
+    return graph.distance_map(adj, nodes)
+
+
+# ranking with evidence --------------------------------------------------------------------------------------------
+
+RANKED = f"""WITH {_bm25_sql()},
+ch AS (SELECT doc_id, coalesce(source, 'x') || '.' || coalesce(lang, 'x') AS qn, {X.code_tokens_sql("coalesce(source, 'x') || '.' || coalesce(lang, 'x')")} AS qt_, CASE WHEN doc_id % 2 = 0 THEN 'function' ELSE 'dataset_document' END AS kind, doc_id % 3 = 0 AS is_test FROM documents),
+v AS (SELECT vec_id, embedding AS e FROM embeddings), qv AS (SELECT item_id AS query_id, e AS qe FROM benchmark JOIN v ON vec_id = item_id),
+sems AS (SELECT query_id, vec_id AS doc_id, round({_ip.format("qe", "e")}, 9) AS score FROM qv, v),
+semr AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM sems WHERE score > 0.05),
+lx AS (SELECT query_id, doc_id, rank AS lr FROM run WHERE rank <= 1000), sm AS (SELECT query_id, doc_id, rank AS sr FROM semr WHERE rank <= 1000),
+qq AS (SELECT item_id AS query_id, text AS query, list_distinct({X.code_tokens_sql("text")}) AS terms, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_$]+'), lambda w: lower(w)) AS words FROM benchmark),
+"""
+
+
+def _ranked_sql(mode: str) -> str:
+    join = {"bm25": "LEFT JOIN", "dense": "RIGHT JOIN", "hybrid": "FULL JOIN"}[mode]
+    lex = "0" if mode == "dense" else "coalesce(1.0::DOUBLE / (60 + lr), 0)"
+    sem = "0" if mode == "bm25" else "coalesce(1.0::DOUBLE / (60 + sr), 0)"
+    return RANKED + f"""bo AS (SELECT coalesce(lx.query_id, sm.query_id) AS query_id, coalesce(lx.doc_id, sm.doc_id) AS doc_id, lr, sr FROM lx {join} sm ON lx.query_id = sm.query_id AND lx.doc_id = sm.doc_id),
+ro AS (SELECT bo.*, qq.query, is_test, len(list_intersect(terms, qt_)) / greatest(1, len(terms)) AS overlap, kind <> 'dataset_document' AND (list_contains(words, lower(string_split(qn, '.')[-1])) OR (CASE WHEN contains(lower(query), lower(qn)) THEN regexp_matches(query, '(?i)(^|[^\\p{{L}}\\p{{N}}_$])\\Q' || qn || '\\E($|[^\\p{{L}}\\p{{N}}_$])') ELSE false END)) AS exact
+ FROM bo JOIN ch USING (doc_id) JOIN qq USING (query_id)),
+sc AS (SELECT *, round(({lex} + {sem} + CASE WHEN exact THEN 0.018::DOUBLE ELSE 0 END + 0.004::DOUBLE * overlap) * CASE WHEN is_test AND NOT regexp_matches(query, '(?i)\\b(test|tests|spec)\\b') THEN 0.82::DOUBLE ELSE 1 END, 12) AS score FROM ro),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM sc)
+"""
+
+
+def _rank(spark, d, mode):
+    chunks = _docs(spark, d).select(
+        "doc_id", F.concat_ws(".", F.coalesce("source", F.lit("x")), F.coalesce("lang", F.lit("x"))).alias("qualified_name"),
+        F.when(F.col("doc_id") % 2 == 0, "function").otherwise("dataset_document").alias("kind"), (F.col("doc_id") % 3 == 0).alias("is_test"),
+    )
+    items = _items(spark, d)
+    v = _vectors(spark, d).select("doc_id", "vector")
+    qv = items.select("query_id").join(v.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvec")), "query_id")
+    lex = lexical.scores(lexical.build(_docs(spark, d)), items)
+    return fusion.rank(items, chunks, lex, dense.scores(qv, v, 0.05), mode)
+
+
+_RANKED_COLUMNS = "query_id, doc_id, rank::INT AS rank, round(score, 7) AS score, lr::INT AS lexical_rank, sr::INT AS semantic_rank, exact AS exact_symbol_match, round(overlap, 9) AS name_overlap"
+
+
+def _ranked_rows(df):
+    return df.where("rank <= 20").select("query_id", "doc_id", "rank", F.round("score", 7).alias("score"), "lexical_rank", "semantic_rank", "exact_symbol_match", F.round("name_overlap", 9).alias("name_overlap"))
+
+
+@query(_ranked_sql("hybrid") + f"SELECT {_RANKED_COLUMNS} FROM rr WHERE rank <= 20")
+def rank_hybrid(spark, d):
+    """The twenty best of BM25 and vectors together, with boosts and the ranks they come from."""
+    return _ranked_rows(_rank(spark, d, "hybrid"))
+
+
+@query(_ranked_sql("bm25") + f"SELECT {_RANKED_COLUMNS} FROM rr WHERE rank <= 20")
+def rank_bm25(spark, d):
+    """The same by BM25 alone; vectors are evidence only."""
+    return _ranked_rows(_rank(spark, d, "bm25"))
+
+
+@query(_ranked_sql("dense") + f"SELECT {_RANKED_COLUMNS} FROM rr WHERE rank <= 20")
+def rank_dense(spark, d):
+    """The same by vectors alone; terms are evidence only."""
+    return _ranked_rows(_rank(spark, d, "dense"))
+
+
+@query(_ranked_sql("dense") + "SELECT query_id, CASE WHEN bool_or(lr IS NOT NULL OR exact) THEN 'KEYWORD_MATCH' ELSE 'SEMANTIC_ONLY' END AS match_basis FROM rr WHERE rank <= 3 GROUP BY query_id")
+def match_basis(spark, d):
+    """Whether the three best of each query rest on words or on vectors alone."""
+    return fusion.match_basis(_rank(spark, d, "dense").where("rank <= 3"))
+
+
+@query(_ranked_sql("hybrid") + ", re AS (SELECT query_id, doc_id, score AS s FROM rr UNION ALL SELECT query_id, doc_id, 0.12::DOUBLE / (60 + rank) FROM run WHERE rank <= 50) SELECT query_id, doc_id, round(round(sum(s), 12), 7) AS score FROM re GROUP BY 1, 2")
+def refine_scores(spark, d):
+    """Scores of a first ranking with a second one added by its ranks."""
+    second = lexical.ranked(lexical.scores(lexical.build(_docs(spark, d)), _items(spark, d)), 50)
+    return fusion.refine(_rank(spark, d, "hybrid"), second).select("query_id", "doc_id", F.round("score", 7).alias("score"))
+
+
+# rerankers --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DENSE}, n AS (SELECT query_id, doc_id, rank, (doc_id * 7919) % 1009 AS s FROM drun) SELECT query_id, doc_id, rank::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank > 50, CASE WHEN rank <= 50 THEN -s ELSE 0 END, rank)::INT AS new_rank FROM n")
+def rerank_keeps_tail(spark, d):
+    """A run whose first fifty rows a new score orders; the others stay."""
+    run = lexical.ranked(_dense(spark, d), 1 << 30).withColumn("new_score", ((F.col("doc_id") * 7919) % 1009).cast("double"))
+    return rerank.keep_tail(run).select("query_id", "doc_id", "rank", F.col("new_rank").cast("int").alias("new_rank"))
+
+
+@query(
+    f"WITH {DENSE}, m AS (SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 9) <= 0.02 AS hit FROM drun WHERE rank <= 11 GROUP BY 1 HAVING count(*) = 11), n AS (SELECT query_id, doc_id, rank, (doc_id * 7919) % 1009 AS s FROM drun), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank > 50, CASE WHEN rank <= 50 THEN -s ELSE 0 END, rank) AS nr FROM n) SELECT query_id, doc_id, rank::INT AS rank, coalesce(hit, false) AS triggered, (CASE WHEN coalesce(hit, false) THEN nr ELSE rank END)::INT AS new_rank FROM k LEFT JOIN m USING (query_id)"
+)
+def gated_rerank(spark, d):
+    """The same only for queries whose two best are close."""
+    run = lexical.ranked(_dense(spark, d), 1 << 30).withColumn("new_score", ((F.col("doc_id") * 7919) % 1009).cast("double"))
+    return rerank.gated(run, "top1_top2", 0.02).select("query_id", "doc_id", "rank", "triggered", F.col("new_rank").cast("int").alias("new_rank"))
+
+
+@query(f"WITH {_bm25_sql()} SELECT query_id, run.doc_id, round(round(score + CASE WHEN rank <= 50 AND coalesce({X.operator_evidence_sql('b.text', 'dd.text')}, false) THEN 0.02 ELSE 0 END, 9), 5) AS score FROM run JOIN benchmark b ON b.item_id = query_id JOIN documents dd ON dd.doc_id = run.doc_id WHERE rank <= 100")
+def operator_boost(spark, d):
+    """BM25 with a boost where a text shows the operator that a passage names."""
+    items = _items(spark, d)
+    run = lexical.ranked(lexical.scores(lexical.build(_docs(spark, d)), items), 100).join(items, "query_id").join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    return rerank.boost_operators(run).select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
+# evaluation of evaluations ----------------------------------------------------------------------------------------
+
+
+@query(_metrics_sql("grade::DOUBLE", "rank").replace("SELECT query_id, round(coalesce(dcg", ", al AS (SELECT query_id, round(coalesce(dcg", 1) + "), " + "me AS (SELECT al.*, q.label FROM al JOIN q USING (query_id)) SELECT label, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr, round(avg(recall_10), 6) AS recall_10 FROM me GROUP BY ROLLUP (label)")
+def metric_summary(spark, d):
+    """Means over all queries and for each label."""
+    m = evaluation.metrics(lexical.ranked(_dense(spark, d), 1 << 30), _label_qrels(spark, d)).select("query_id", *[F.round(c, 6).alias(c) for c in ("ndcg", "mrr", "recall_10")])
+    return _six(evaluation.summary(m.join(_vector_queries(spark, d).select("query_id", "label"), "query_id"), "label").withColumnRenamed("label", "query_id")).withColumnRenamed("query_id", "label")
+
+
+@query(f"WITH {DENSE}{FIRST} SELECT query_id, ra::INT AS first_rank FROM fd")
+def first_relevant(spark, d):
+    """Where each query's first relevant document lies."""
+    return evaluation.first_relevant(lexical.ranked(_dense(spark, d), 1 << 30), _label_qrels(spark, d)).withColumn("first_rank", F.col("first_rank").cast("int"))
+
+
+@query(f"WITH {DENSE}, u AS (SELECT query_id, doc_id, rank FROM drun UNION ALL SELECT query_id, doc_id, rank FROM lrun), m AS (SELECT query_id, doc_id, min(rank) AS rank FROM u GROUP BY 1, 2) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id)::INT AS rank FROM m")
+def distinct_run(spark, d):
+    """Two runs one after the other, each document at its first rank."""
+    a, b = lexical.ranked(_dense(spark, d), 1 << 30), lexical.ranked(_lexical_labels(spark, d), 1 << 30)
+    return evaluation.distinct_run(a.unionByName(b, allowMissingColumns=True)).withColumn("rank", F.col("rank").cast("int"))
+
+
+# texts, paths and caches ------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, (SELECT count(*) FROM (SELECT unnest(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')) AS l)) - CASE WHEN regexp_matches(text, '(^|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}])$') THEN 1 ELSE 0 END AS n_lines FROM documents WHERE text IS NOT NULL")
+def line_counts(spark, d):
+    """Lines of all documents, cut at all line ends of Unicode."""
+    return _docs(spark, d).where("text is not null").select("doc_id", F.size(X.lines(F.col("text"))).cast("long").alias("n_lines"))
+
+
+PATH_SQL = "regexp_replace(url, '^[a-z]+://[^/]*/?', '')"
+
+
+@query(f"WITH p AS (SELECT page_id, {PATH_SQL} || '.js' AS p FROM pages) SELECT page_id, p <> '' AND NOT starts_with(p, '/') AND NOT contains(p, '\\') AND NOT list_contains(string_split(p, '/'), '..') AS safe, regexp_matches(p, '(^|/)__tests__/') OR regexp_matches(p, '\\.(test|spec)\\.[cm]?jsx?$') AS is_test, NOT list_has_any(string_split(p, '/'), ['node_modules', 'dist', 'build', 'coverage', 'vendor', '.next', '.cache', '.git', '.venv', 'venv', '__pycache__']) AND NOT regexp_matches(string_split(p, '/')[-1], '^\\.[^.]*$') AND NOT regexp_matches(p, '\\.(min\\.js|bundle\\.js|map)$') AS useful FROM p")
+def path_predicates(spark, d):
+    """What the paths of all pages would be as source files."""
+    p = table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""), F.lit(".js")).alias("p"))
+    return p.select("page_id", X.safe_path(F.col("p")).alias("safe"), X.is_test_path(F.col("p")).alias("is_test"), X.useful_path(F.col("p")).alias("useful"))
+
+
+@query(f"WITH {DENSE} SELECT query_id::VARCHAR AS query_id, string_agg(doc_id::VARCHAR, ' ' ORDER BY rank) AS docs, sha256(string_agg(doc_id::VARCHAR, ' ' ORDER BY rank)) AS sha256 FROM drun GROUP BY 1")
+def packed_ranks(spark, d):
+    """Rankings packed to a line a query, with their digests."""
+    return corpora.pack_ranks(lexical.ranked(_dense(spark, d), 1 << 30)).withColumn("query_id", F.col("query_id").cast("string"))
 
 
+@query("WITH j AS (SELECT doc_id, 0 AS query_id FROM labels), x AS (SELECT count(*) AS documents FROM documents), y AS (SELECT count(*) AS queries FROM benchmark), z AS (SELECT count(*) AS duplicate_ids FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) SELECT documents, queries, duplicate_ids, (SELECT count(*) FROM j WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)) AS dangling_documents, (SELECT count(*) FROM j WHERE query_id NOT IN (SELECT item_id FROM benchmark)) AS dangling_queries FROM x, y, z")
+def dataset_report(spark, d):
+    """Counts and defects of a corpus with its queries and judgements."""
+    return corpora.dataset_report(_docs(spark, d), _items(spark, d), table(spark, d, "labels").select("doc_id", F.lit(0).cast("long").alias("query_id")))
 
 
+@query("WITH a AS (SELECT vec_id AS id, embedding AS x FROM embeddings), b AS (SELECT id, list_transform(x, lambda v: CASE WHEN id % 7 = 0 THEN v * 2 ELSE v END) AS y FROM a), c AS (SELECT list_inner_product(x::DOUBLE[], y::DOUBLE[]) / greatest(sqrt(list_inner_product(x::DOUBLE[], x::DOUBLE[])) * sqrt(list_inner_product(y::DOUBLE[], y::DOUBLE[])), 1e-300) AS c, x = y AS same FROM a JOIN b USING (id)) SELECT count(*) AS n, round(min(c), 6) AS worst_cosine, count(*) FILTER (same) AS identical FROM c")
+def vector_alignment(spark, d):
+    """How two tables of vectors of the same ids agree, one of them scaled here and there."""
+    a = _vectors(spark, d).select("doc_id", "vector")
+    b = a.select("doc_id", F.transform("vector", lambda v: F.when(F.col("doc_id") % 7 == 0, (v * 2).cast("float")).otherwise(v)).alias("vector"))
+    return store.alignment(a, b).withColumn("worst_cosine", F.round("worst_cosine", 6))

@@ -45,6 +45,62 @@ def test_calls_resolve_without_guessing(files):
     assert [(r["before"].split("::")[1], r["after"].split("::")[1]) for r in order] == [("OrderService.check", "Repo.find")]
 
 
+def test_calls_that_must_stay_unresolved(spark):
+    files = {
+        "a.js": "class S {\n  constructor() { this.repo = new R(); }\n  run() { this.repo.find(); }\n  end() { delete this.repo; }\n}\nclass R { find() {} }\n",
+        "b.js": "class S {\n  constructor() { this.repo = new R(); this[k] = 1; }\n  run() { this.repo.find(); this.run(); }\n}\nclass R { find() {} }\n",
+        "c.js": 'import { f, g as h } from "./d";\nimport * as all from "./d.js";\nfunction go(f) { f(); }\nfunction two() { f(); h(); all.f(); const f2 = 1; f2(); }\nlet again = () => 1;\nagain = 2;\nfunction three() { again(); }\nfunction dup() {}\nfunction dup() {}\nfunction four() { dup(); }\n',
+        "d.js": "export function f() {}\nexport function g() {}\n",
+        "e.js": "function outer() { function inner() { helper(); obj.m(); } inner(); }\nfunction helper() {}\n",
+        "sub/f.js": 'const { f } = require("../d");\nconst lib = require("./lib");\nfunction go() { f(); lib.run(); lib(); }\n',
+        "sub/lib/index.js": "module.exports = main;\nfunction main() {}\nmain.run = 1;\nmodule.exports.run = run;\nfunction run() {}\n",
+        "x.jsx": "function View() { return <p>don't stop {helper()} it's fine</p>; }\nfunction helper() {}\n",
+    }
+    parsed = structure.parse(spark.createDataFrame(list(files.items()), "path string, source string"))
+    edges, left = structure.resolve_calls(parsed)
+    got = {(r["src"], r["dst"].split("::")[1], r["how"]) for r in edges.collect()}
+    assert got == {
+        ("c.js::two", "f", "named_or_default_import"), ("e.js::outer", "outer.inner", "lexical_scope"), ("e.js::outer.inner", "helper", "lexical_scope_nested"),
+        ("sub/f.js::go", "f", "commonjs_require"), ("sub/f.js::go", "run", "commonjs_require"), ("sub/f.js::go", "main", "commonjs_require"), ("x.jsx::View", "helper", "lexical_scope"),
+    }
+    assert {(r["call_file"], r["callee"], r["reason"]) for r in left.collect()} == {
+        ("a.js", "this.repo.find", "UNRESOLVED"), ("b.js", "this.repo.find", "COMPUTED_WRITE"), ("b.js", "this.run", "UNRESOLVED"), ("c.js", "f", "UNRESOLVED"), ("c.js", "h", "UNRESOLVED"), ("c.js", "all.f", "UNRESOLVED"),
+        ("c.js", "f2", "UNRESOLVED"), ("c.js", "again", "UNRESOLVED"), ("c.js", "dup", "UNRESOLVED"), ("e.js", "obj.m", "UNSUPPORTED_SCOPE"),
+    }
+
+
+def test_module_paths(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a/b.js", "./c"), ("a/b.js", "../c.js"), ("a/b.js", "c"), ("b.js", "../../x"), ("a/b/c.js", "./../d/./e"), ("b.js", "./c.json"), ("b.js", "./.c")]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, m string").coalesce(1).select(structure.module_paths(F.col("p"), F.col("m"))).collect()]
+    assert got == [["a/c.js", "a/c/index.js"], ["c.js"], [], ["../../x.js", "../../x/index.js"], ["a/d/e.js", "a/d/e/index.js"], [], [".c.js", ".c/index.js"]]
+
+
+def test_premises_of_questions(spark):
+    symbols = spark.createDataFrame([("f::a", "startOrder", "startOrder", "function", None), ("f::b", "saveOrder", "Store.saveOrder", "method", "f::S"), ("g::b", "twice", "twice", "function", None), ("h::b", "twice", "twice", "function", None)], "symbol_id string, name string, qualified_name string, kind string, parent_symbol_id string")
+    edges = spark.createDataFrame([("f::a", "f::b", 3)], "src string, dst string, line int")
+    asked = ["does startOrder call saveOrder", "why does saveOrder call startOrder?", "does twice call startOrder", "where is KafkaQueue defined?", "where is twice", "where is the order handling implemented?", "where is the queue implemented?", "how does Store.saveOrder work", ""]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    got = {r["query_id"]: r for r in investigate.ground(queries, symbols, edges).collect()}
+    assert [got[i]["status"] for i in range(9)] == ["VERIFIED_CALL", "CALL_NOT_ESTABLISHED", "AMBIGUOUS_SYMBOL", "NO_VERIFIED_SYMBOL", "AMBIGUOUS_SYMBOL", "SOURCE_CANDIDATES", "NO_VERIFIED_IMPLEMENTATION", "SOURCE_CANDIDATES", "SOURCE_CANDIDATES"]
+    assert [tuple(e) for e in got[0]["call_edges"]] == [("f::a", "f::b", 3)] and got[4]["definitions"] == ["g::b", "h::b"]
+    plans = {r["query_id"]: r["symbols"] for r in investigate.plan(queries, symbols).collect()}
+    assert plans[0] == ["startOrder", "saveOrder"] and plans[7] == ["Store.saveOrder"] and plans[8] == []
+
+
+def test_trace_statuses_and_components(spark):
+    from sparkloom.operators import graph
+
+    edges = [("a", "t"), ("t", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("x", "y"), ("y", "x"), ("y", "z")]
+    adj = spark.createDataFrame(edges, "src string, dst string")
+    pairs = spark.createDataFrame([("a", "t"), ("a", "g"), ("a", "f"), ("x", "z"), ("z", "x"), ("a", "a")], "source string, target string")
+    got = {(r["source"], r["target"]): r["status"] for r in graph.statuses(adj, pairs, 5).collect()}
+    assert got == {("a", "t"): "SUPPORTED", ("a", "g"): "SEARCH_LIMIT_REACHED", ("a", "f"): "SUPPORTED", ("x", "z"): "SUPPORTED", ("z", "x"): "NO_STATIC_PATH_FOUND", ("a", "a"): "SUPPORTED"}
+    nodes = spark.createDataFrame([(x,) for x in "atcdefgxyz"], "id string")
+    assert {(r["id"], r["component"]) for r in graph.strong_components(nodes, adj).collect()} == {(x, "x" if x == "y" else x) for x in "atcdefgxyz"}
+
+
 def test_innermost_span(spark):
     spans = spark.createDataFrame([("f", "outer", 0, 9000), ("f", "inner", 100, 200), ("g", "x", 0, 5)], "path string, symbol_id string, start_byte long, end_byte long")
     points = spark.createDataFrame([("f", 150), ("f", 5000), ("f", 9000), ("g", 4)], "path string, at long")
@@ -71,7 +127,7 @@ def test_engine_end_to_end(spark, tmp_path):
     assert got["intent"] == "PATH" and got["paths"]["status"] == "SUPPORTED" and got["match_basis"] == "KEYWORD_MATCH"
     assert {"saveOrder", "main"} <= {r["qualified_name"] for r in got["results"][:4]}
     tables = e.tables()
-    status = lambda q: investigate.ground(q, tables["symbols"], tables["edges"])["status"]
+    status = lambda q: investigate.ground(spark.createDataFrame([(0, q)], "query_id int, query string"), tables["symbols"], tables["edges"]).first()["status"]
     assert status("does startOrder call placeOrder") == "VERIFIED_CALL"
     assert status("does saveOrder call main") == "CALL_NOT_ESTABLISHED"
     assert status("where is KafkaConsumer defined") == "NO_VERIFIED_SYMBOL"

@@ -1,4 +1,4 @@
-"""Queries that take all of their input, where others with the same operator take a stated part."""
+"""Queries take all of their input."""
 
 import pytest
 
@@ -8,12 +8,8 @@ from sparkloom.plans import queries as plans
 @pytest.mark.parametrize("name", ["callers", "khop", "bounded_paths", "shortest_paths"])
 def test_all_nodes(spark, data, name):
     nodes, adj = plans._graph(spark, data)
-    ids = {r["id"] for r in nodes.collect()}
-    whole = [tuple(r) for r in plans.QUERIES[f"{name}_all"](spark, data).collect()]
-    part = [tuple(r) for r in plans.QUERIES[name](spark, data).collect()]
-    assert set(part) <= set(whole)
-    want = {r["dst"] for r in adj.collect()} if name == "callers" else ids
-    assert {r[0] for r in whole} == want
+    whole = {r[0] for r in plans.QUERIES[name](spark, data).collect()}
+    assert whole == ({r["dst"] for r in adj.collect()} if name == "callers" else {r["id"] for r in nodes.collect()})
 
 
 def test_rank_changes_by_query(spark):
@@ -27,8 +23,6 @@ def test_rank_changes_by_query(spark):
 
 def test_all_queries_and_turns(spark, data):
     ids = {r["query_id"] for r in plans._vector_queries(spark, data).collect()}
-    rows = plans.rank_changes_all(spark, data).collect()
-    assert {r["query_id"] for r in rows} == ids
-    assert {tuple(r) for r in plans.rank_changes(spark, data).collect()} == {tuple(r)[1:] for r in rows if r["query_id"] == 0}
+    assert {r["query_id"] for r in plans.rank_changes(spark, data).collect()} == ids
     turns = plans.table(spark, data, "conversations")
-    assert plans.operator_evidence_turns(spark, data).count() == turns.count() - turns.select("conv_id").distinct().count()
+    assert plans.operator_evidence(spark, data).count() == turns.count() - turns.select("conv_id").distinct().count()
