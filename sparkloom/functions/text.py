@@ -26,22 +26,23 @@ def code_tokens(text: Column, stop: list[str] | tuple[str, ...] = STOP) -> Colum
 
     def one(word: Column) -> Column:
         whole = F.lower(word)
-        plain = F.when(whole.isin(*stop), none).otherwise(F.array(whole))
+        plain = F.when(whole.isin(*stop) if stop else F.lit(False), none).otherwise(F.array(whole))
         return F.when(word.rlike(COMPOUND), several(word)).otherwise(plain)
 
     def several(word: Column) -> Column:
         spaced = F.regexp_replace(F.regexp_replace(word, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
         parts = F.split(F.lower(spaced), r"[_$\s]+")
-        kept = F.filter(parts, lambda p: (p != "") & ~p.isin(*stop))
+        stopped = lambda c: c.isin(*stop) if stop else F.lit(False)
+        kept = F.filter(parts, lambda p: (p != "") & ~stopped(p))
         whole = F.lower(word)
-        return F.when((F.size(parts) > 1) & ~whole.isin(*stop), F.concat(kept, F.array(whole))).otherwise(kept)
+        return F.when((F.size(parts) > 1) & ~stopped(whole), F.concat(kept, F.array(whole))).otherwise(kept)
 
     return F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), 0), one))
 
 
 def code_tokens_sql(text: str, stop: list[str] | tuple[str, ...] = STOP) -> str:
     """The same in DuckDB."""
-    stops = "[" + ", ".join(f"'{s}'" for s in stop) + "]"
+    stops = "[" + ", ".join(f"'{s}'" for s in stop or ("",)) + "]"
     spaced = "regexp_replace(regexp_replace(w, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g')"
     parts = f"string_split_regex(lower({spaced}), '[_$\\s]+')"
     return (

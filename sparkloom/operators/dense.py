@@ -10,51 +10,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.vectors import axpy, dot, unit
-from sparkloom.operators._size import small
 from sparkloom.settings import DEFAULT
 
 
-def scores(queries: DataFrame, docs: DataFrame, threshold: float | None = DEFAULT.semantic_threshold) -> DataFrame:
-    """query_id, doc_id, score above the threshold: every query (query_id, qvec) meets every document (doc_id, vector).
+#: Up to so many queries are broadcast as rows; more are dealt to blocks that meet blocks of documents by their number.
+QUERIES, BLOCK = 5000, 2048
+
+
+def _met(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every row of ``queries`` with every row of ``docs``: a broadcast of few queries, else an equi-join of blocks.
 
-    The queries are the stated side; beyond the broadcast bound they are met in blocks (``block_scores``).
+    Beyond the bound, queries are dealt to blocks of BLOCK and every document is sent once to each block.
     """
-    out = docs.crossJoin(small(queries, 5000)).select("query_id", "doc_id", F.round(dot(F.col("qvec"), F.col("vector")), 9).alias("score"))
-    return out if threshold is None else out.where(F.col("score") > threshold)
+    n = queries.limit(QUERIES + 1).count()
+    if n <= QUERIES:
+        return docs.crossJoin(F.broadcast(queries))  # few by count
+    blocks = -(-queries.count() // BLOCK)
+    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    return docs.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "_b").drop("_b")
 
 
-def block_scores(queries: DataFrame, docs: DataFrame, k: int, threshold: float = DEFAULT.semantic_threshold, block: int = 2048) -> DataFrame:
-    """The k best of each query by block products in Arrow batches: for query sets too large to broadcast as rows.
+def scores(queries: DataFrame, docs: DataFrame, threshold: float | None = DEFAULT.semantic_threshold) -> DataFrame:
+    """query_id, doc_id, score above the threshold: every query (query_id, qvec) meets every document (doc_id, vector)."""
+    out = _met(queries, docs).select("query_id", "doc_id", F.round(dot(F.col("qvec"), F.col("vector")), 9).alias("score"))
+    return out if threshold is None else out.where(F.col("score") > threshold)
 
-    Query blocks are packed (one row a block) and each partition of documents streams against them, keeping k a
-    query, so what is shuffled is k rows a query and partition.
-    """
-    packed = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.lit(queries.count() // block + 1)))).groupBy("_b").agg(F.collect_list(F.struct("query_id", "qvec")).alias("q"))
 
-    def run(batches):
-        for pdf in batches:
-            for rows in pdf.itertuples(index=False):
-                ids, q = [x["query_id"] for x in rows.q], np.array([x["qvec"] for x in rows.q], float)
-                d = np.array(list(rows.vectors), float)
-                s = np.round(q @ d.T, 9)
-                for i, qid in enumerate(ids):
-                    at = np.lexsort((np.array(rows.doc_ids).astype(str), -s[i]))[:k]
-                    at = at[s[i][at] > threshold]
-                    yield pd.DataFrame({"query_id": [qid] * len(at), "doc_id": np.array(rows.doc_ids)[at], "score": s[i][at]})
-
-    blocks = docs.withColumn("_d", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // (4 * block))))).groupBy("_d").agg(F.collect_list("doc_id").alias("doc_ids"), F.collect_list("vector").alias("vectors"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    qkind = queries.schema["query_id"].dataType.simpleString()
-    part = blocks.crossJoin(packed).mapInPandas(run, f"query_id {qkind}, doc_id {kind}, score double")
+def best_scores(queries: DataFrame, docs: DataFrame, k: int, threshold: float | None = DEFAULT.semantic_threshold) -> DataFrame:
+    """The k best of each query with their ranks, ties by doc_id as text; k rows a query and task are shuffled up to k = 1000."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("doc_id").cast("string"))
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores(queries, docs, threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def max_pool(queries: DataFrame, windows: DataFrame) -> DataFrame:
     """query_id, doc_id, score: the best window (doc_id, vector) of each document; -1 for a document without windows."""
-    each = windows.where("vector is not null").crossJoin(small(queries, 5000)).select("query_id", "doc_id", dot(F.col("qvec"), F.col("vector")).alias("s"))
+    each = _met(queries, windows.where("vector is not null")).select("query_id", "doc_id", dot(F.col("qvec"), F.col("vector")).alias("s"))
     best = each.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 9).alias("score"))
-    none = windows.groupBy("doc_id").agg(F.count("vector").alias("n")).where("n = 0").crossJoin(small(queries.select("query_id"))).select("query_id", "doc_id", F.lit(-1.0).alias("score"))
+    none = windows.groupBy("doc_id").agg(F.count("vector").alias("n")).where("n = 0")
+    none = _met(queries.select("query_id"), none).select("query_id", "doc_id", F.lit(-1.0).alias("score"))
     return best.unionByName(none)
 
 

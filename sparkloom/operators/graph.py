@@ -229,4 +229,39 @@ def subgraph(symbols: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[Data
     nodes = symbols.where(F.col("kind") != "class").join(ids, "symbol_id", "left_semi").select("symbol_id", "qualified_name", "file_path", "start_line", "end_line", "kind")
     ends = small(nodes.select("symbol_id"))
     inside = edges.join(ends.withColumnRenamed("symbol_id", "src"), "src", "left_semi").join(ends.withColumnRenamed("symbol_id", "dst"), "dst", "left_semi")
-    return nodes, inside
+    return nodes, inside.select(edges.columns)
+
+
+def neighbourhood(adj: DataFrame, start: DataFrame, depth: int, limit: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(k_hop cut to the ``limit`` nearest; start, status: SEARCH_LIMIT_REACHED where some were cut, else OK)."""
+    every = k_hop(adj, start, depth)
+    order = Window.partitionBy("start").orderBy("distance", "id")
+    near = every.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    status = every.groupBy("start").agg(F.when(F.count("*") > limit, "SEARCH_LIMIT_REACHED").otherwise("OK").alias("status"))
+    return near, status
+
+
+def symbol_map(symbols: DataFrame, edges: DataFrame, file: str | None = None, limit: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the first ``limit`` symbols that can be called, of one file or of all."""
+    can = symbols.where(F.col("kind") != "class")
+    can = can if file is None else can.where(F.col("file_path") == file)
+    return subgraph(symbols, edges, can.orderBy("file_path", "start_line", "symbol_id").limit(limit).select(F.col("symbol_id").alias("id")))
+
+
+def view(nodes: DataFrame, edges: DataFrame, text: str = "", selected: str | None = None, most: int = 60, most_edges: int = 250) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that a drawing of a graph shows: names or files that hold ``text``, the selected node first, its
+    neighbours next, then the others by id."""
+    hits = nodes.where(F.contains(F.lower(F.concat_ws(" ", "qualified_name", "file_path")), F.lower(F.lit(text))))
+    near = edges.where((F.col("src") == selected) | (F.col("dst") == selected)).select(F.explode(F.array("src", "dst")).alias("symbol_id")).distinct() if selected else nodes.select("symbol_id").limit(0)
+    ranked = hits.join(near.withColumn("_near", F.lit(True)), "symbol_id", "left").withColumn("_near", F.coalesce("_near", F.lit(False)))
+    shown = ranked.orderBy(F.col("symbol_id") != F.lit(selected or ""), ~F.col("_near"), "symbol_id").limit(most).drop("_near")
+    ends = shown.select("symbol_id")
+    inside = edges.join(F.broadcast(ends.withColumnRenamed("symbol_id", "src")), "src", "left_semi").join(F.broadcast(ends.withColumnRenamed("symbol_id", "dst")), "dst", "left_semi")  # at most ``most`` ids
+    return shown, inside.select(edges.columns).orderBy("src", "dst").limit(most_edges)
+
+
+def tree(files: DataFrame, prefix: str = "") -> DataFrame:
+    """name, is_folder: what a folder of the paths (path) holds, folders first."""
+    rest = files.where(F.col("path").startswith(prefix)).select(F.substring("path", len(prefix) + 1, 1 << 30).alias("r"))
+    name = F.split("r", "/")[0]
+    return rest.groupBy(name.alias("name")).agg(F.bool_or(F.contains("r", F.lit("/"))).alias("is_folder")).orderBy(F.desc("is_folder"), "name")

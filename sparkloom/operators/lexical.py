@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -80,3 +81,9 @@ def grid(index: LexicalIndex, queries: DataFrame, settings: list[tuple[float, fl
     norm = F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("len") / F.col("avg_len"))
     s = F.col("times") * F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + norm)
     return hits.groupBy("k1", "b", "query_id", "doc_id").agg(F.round(F.sum(s), 9).alias("score")).where("score > 0")
+
+
+def build_without_stop_words(docs: DataFrame, text: str = "text", title: str | None = None) -> tuple[LexicalIndex, Callable]:
+    """An index that keeps stop words, and the tokenizer that queries need for it: what an ablation compares with."""
+    tokens = lambda c: code_tokens(c, ())
+    return build(docs, tokens, text, title), tokens

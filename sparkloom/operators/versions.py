@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import lines
+from sparkloom.operators import fusion, lexical
+
 
 def snapshot_hash(files: DataFrame) -> DataFrame:
     """version_key, snapshot_hash: sha-256 over path NUL source NUL in order of paths.
@@ -85,3 +88,27 @@ def fold(snippets: DataFrame) -> DataFrame:
     rows = snippets.withColumn("content_hash", F.sha2("text", 256))
     got = rows.groupBy("content_hash").agg(F.min("text").alias("text"), F.count("*").alias("n_occurrences"), F.sort_array(F.collect_list(F.struct("version_order", "doc_id", "version"))).alias("m"))
     return got.select("content_hash", "text", "n_occurrences", F.array_distinct(F.transform("m", lambda x: x["version"])).alias("versions"), F.transform("m", lambda x: F.struct(x["version"].alias("version"), x["doc_id"].alias("doc_id"))).alias("members"))
+
+
+def snippet_search(queries: DataFrame, snippets: DataFrame, semantic: DataFrame | None = None, mode: str = "bm25", k: int = 10) -> DataFrame:
+    """The k best distinct texts of all versions for each query (query_id, query): rank, score, id, versions, occurrences,
+    lines, text and the ranks they come from.
+
+    ``snippets`` is (version, version_order, doc_id, text); equal texts are searched once and list all that hold them.
+    ``semantic`` (query_id, doc_id: content hash, score) are scores of their vectors.  Nothing is boosted.
+    """
+    folded = fold(snippets)
+    units = folded.select(F.col("content_hash").alias("doc_id"), "text", F.lit("").alias("qualified_name"), F.lit("dataset_document").alias("kind"), F.lit(False).alias("is_test"))
+    found = fusion.rank(queries, units, lexical.scores(lexical.build(units), queries), semantic, mode, boosts=False, limit=k).where(F.col("rank") <= k)
+    rows = found.join(folded, found["doc_id"] == folded["content_hash"])
+    return rows.select(
+        "query_id", "rank", F.round("score", 6).alias("score"), F.element_at("members", 1)["doc_id"].alias("id"), F.sort_array("versions").alias("versions"),
+        F.transform("members", lambda m: F.concat_ws(":", m["version"], m["doc_id"].cast("string"))).alias("occurrences"), F.greatest(F.lit(1), F.size(lines(F.col("text")))).alias("lines"), "text", "lexical_rank", "semantic_rank",
+    )
+
+
+def relevant_changes(symbols: DataFrame, edges: DataFrame, ranked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(symbol changes, edge changes) that touch a ranked symbol (symbol_id): of the results of two versions."""
+    ids = ranked.select("symbol_id").distinct()
+    near = edges.join(F.broadcast(ids.withColumnsRenamed({"symbol_id": "src"}).withColumn("_a", F.lit(True))), "src", "left").join(F.broadcast(ids.withColumnsRenamed({"symbol_id": "dst"}).withColumn("_b", F.lit(True))), "dst", "left")  # the results of one question
+    return symbols.where("change != 'moved'").join(F.broadcast(ids), "symbol_id", "left_semi"), near.where("_a or _b").drop("_a", "_b")

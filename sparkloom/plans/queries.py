@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as X
 from sparkloom.functions.vectors import norm
-from sparkloom.operators import dense, evaluation, fusion, graph, lexical, rerank, structure, versions
+from sparkloom.operators import analysis, dense, evaluation, fusion, graph, lexical, rerank, structure, versions
 from sparkloom.operators._size import cut
 from sparkloom.sources import corpora, store
 
@@ -807,3 +807,149 @@ def vector_alignment(spark, d):
     a = _vectors(spark, d).select("doc_id", "vector")
     b = a.select("doc_id", F.transform("vector", lambda v: F.when(F.col("doc_id") % 7 == 0, (v * 2).cast("float")).otherwise(v)).alias("vector"))
     return store.alignment(a, b).withColumn("worst_cosine", F.round("worst_cosine", 6))
+
+
+# comparisons of runs, errors, gates -------------------------------------------------------------------------------
+
+RANKS = f"""WITH {DENSE}{FIRST}, u AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS s FROM drun UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM lrun), fu AS (SELECT query_id, doc_id, round(sum(s), 12) AS score FROM u GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM fu), ff AS (SELECT j.query_id, min(fr.rank) AS rf FROM qrels j LEFT JOIN fr ON j.query_id = fr.query_id AND j.doc_id = fr.doc_id GROUP BY 1),
+rk AS (SELECT query_id, coalesce(ra, 1 << 30) AS a, coalesce(rb, 1 << 30) AS b, coalesce(rf, 1 << 30) AS f FROM fd JOIN fl USING (query_id) JOIN ff USING (query_id))
+"""
+
+
+def _three_runs(spark, d):
+    a, b = lexical.ranked(_dense(spark, d), 1 << 30), lexical.ranked(_lexical_labels(spark, d), 1 << 30)
+    return {"a": a, "b": b, "f": fusion.rrf([(a, 1.0), (b, 1.0)])}
+
+
+@query(RANKS + "SELECT count(*) FILTER (a < b) AS a_higher, count(*) FILTER (b < a) AS b_higher, count(*) FILTER (a = b) AS same, count(*) FILTER (f < least(a, b)) AS fused_beats_both, count(*) FILTER (f > least(a, b)) AS fused_below_best, count(*) FILTER (least(a, b, f) > 100) AS all_miss_100 FROM rk")
+def head_to_head(spark, d):
+    """Which of two runs ranks a relevant document higher, and how their fusion does."""
+    return analysis.head_to_head(analysis.ranks_of(_three_runs(spark, d), _label_qrels(spark, d)), "a", "b", "f")
+
+
+@query(RANKS + "SELECT query_id, CASE WHEN f <= 3 THEN 'ranked too low' WHEN a <= 3 OR b <= 3 THEN 'lost by fusion' ELSE 'not retrieved' END AS category FROM rk WHERE f > 1")
+def failure_categories(spark, d):
+    """Why a fusion does not put a relevant document first."""
+    return analysis.failures(analysis.ranks_of(_three_runs(spark, d), _label_qrels(spark, d)), "a", "b", "f", 1, 3)
+
+
+def _ndcg_sql(run: str) -> str:
+    return f"(SELECT i.query_id, round(coalesce(g / ideal, 0), 9) AS n FROM (SELECT query_id, sum(grade / log2(i + 1)) FILTER (i <= 10) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS i FROM qrels) GROUP BY 1) i LEFT JOIN (SELECT query_id, sum(grade / log2(rank + 1)) AS g FROM qrels JOIN {run} USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1) p ON p.query_id = i.query_id)"
+
+
+@query(
+    RANKS + f", m AS (SELECT x.query_id, x.n AS a, y.n AS b, z.n AS f FROM {_ndcg_sql('drun')} x JOIN {_ndcg_sql('lrun')} y USING (query_id) JOIN {_ndcg_sql('fr')} z USING (query_id)) SELECT count(*) FILTER (greatest(a, b, f) = 0) AS all_zero, count(*) FILTER (a > 0 AND b = 0) AS a_only, count(*) FILTER (b > 0 AND a = 0) AS b_only, count(*) FILTER (a > 0 AND b > 0) AS \"both\", "
+    "count(*) FILTER (f > greatest(a, b)) AS fused_beats_both, count(*) FILTER (f < a) AS fused_below_a, count(*) FILTER (f < b) AS fused_below_b, count(*) FILTER (a > 0 AND a = greatest(a, b, f)) AS a_best, count(*) FILTER (b > 0 AND b = greatest(a, b, f)) AS b_best, count(*) FILTER (f > 0 AND f = greatest(a, b, f)) AS fused_best FROM m"
+)
+def mode_comparison(spark, d):
+    """Counts over the NDCG of two runs and their fusion."""
+    q, per = _label_qrels(spark, d), None
+    for name, run in _three_runs(spark, d).items():
+        m = evaluation.metrics(run, q).select("query_id", F.col("ndcg").alias(name))
+        per = m if per is None else per.join(m, "query_id")
+    return analysis.mode_comparison(per, "a", "b", "f")
+
+
+@query(f"WITH {_bm25_sql()}, q AS (SELECT item_id AS query_id, list_distinct({X.generic_tokens_sql('text')}) AS q FROM benchmark), t AS (SELECT doc_id, list_distinct({X.generic_tokens_sql('text')}) AS d FROM documents) SELECT query_id, doc_id, round(len(list_intersect(q, d)) / greatest(1, len(q)), 3) AS query_terms_in_doc, round(len(list_intersect(q, d)) / greatest(1, len(d)), 3) AS doc_terms_in_query FROM run JOIN q USING (query_id) JOIN t USING (doc_id) WHERE rank <= 3")
+def vocabulary_overlap(spark, d):
+    """How much of their vocabulary a passage and its three best documents share."""
+    items = _items(spark, d)
+    pairs = lexical.ranked(lexical.scores(lexical.build(_docs(spark, d)), items), 3)
+    return analysis.vocabulary_overlap(items, _docs(spark, d), pairs)
+
+
+@query(
+    RANKS + ", tx AS (SELECT vec_id AS doc_id, 'a b ' || (vec_id % 3) || ' ' || (vec_id % 5) AS text FROM embeddings), po AS (SELECT query_id, min({'g': -grade, 'd': doc_id}).d AS positive FROM qrels GROUP BY 1), tp AS (SELECT query_id, min_by(doc_id, rank) AS top, count(*) AS n FROM drun WHERE rank <= 2 GROUP BY 1), "
+    "w AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM tx) SELECT fd.query_id, fd.ra::INT AS first_rank, positive, coalesce(tp.n, 0) AS n_negatives, coalesce(len(list_intersect(qw.w, tw.w)), 0) > coalesce(len(list_intersect(qw.w, pw.w)), 0) AS top_has_more_words FROM fd JOIN po USING (query_id) LEFT JOIN tp USING (query_id) JOIN w qw ON qw.doc_id = fd.query_id LEFT JOIN w tw ON tw.doc_id = tp.top LEFT JOIN w pw ON pw.doc_id = po.positive WHERE fd.ra IS NULL OR fd.ra > 2"
+)
+def error_rows(spark, d):
+    """Queries without a relevant document among the first two, and what stands there instead."""
+    docs = _vectors(spark, d).select("doc_id", F.concat_ws(" ", F.lit("a b"), F.col("doc_id") % 3, F.col("doc_id") % 5).alias("text"))
+    queries = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    out = analysis.error_rows(lexical.ranked(_dense(spark, d), 1 << 30), _label_qrels(spark, d), queries, docs, 2)
+    return out.withColumn("first_rank", F.col("first_rank").cast("int")).withColumn("n_negatives", F.col("n_negatives").cast("long"))
+
+
+@query(
+    f"""WITH {DENSE}, conf AS (SELECT k, w, depth FROM (SELECT unnest([10, 60]) AS k), (SELECT unnest([0.3::DOUBLE, 0.7::DOUBLE]) AS w), (SELECT unnest([50, 200]) AS depth)),
+u AS (SELECT query_id, doc_id, rank, 1 AS side FROM drun WHERE rank <= 200 UNION ALL SELECT query_id, doc_id, rank, 0 FROM lrun WHERE rank <= 200),
+f AS (SELECT k, w, depth, query_id, doc_id, round(sum(CASE WHEN side = 1 THEN w ELSE 1 - w END / (k + rank)), 12) AS score FROM u JOIN conf ON rank <= depth GROUP BY 1, 2, 3, 4, 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY k, w, depth, query_id ORDER BY score DESC, doc_id::VARCHAR) AS rank FROM f),
+s AS (SELECT k::INT AS k, w, depth::INT AS depth, round(avg(CASE WHEN grade IS NULL THEN 0 ELSE 1 END), 9) AS p10, round(avg(CASE WHEN grade IS NULL THEN 0 ELSE grade END), 9) AS g10 FROM r LEFT JOIN qrels USING (query_id, doc_id) WHERE r.rank <= 10 GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT 'p10' AS metric, k, w, depth, p10 AS value FROM s ORDER BY p10 DESC, k, w, depth LIMIT 1) UNION ALL SELECT * FROM (SELECT 'g10', k, w, depth, g10 FROM s ORDER BY g10 DESC, k, w, depth LIMIT 1)"""
+)
+def best_fusion_settings(spark, d):
+    """The best of eight fusion settings by two metrics."""
+    a, b = lexical.ranked(_dense(spark, d), 200), lexical.ranked(_lexical_labels(spark, d), 200)
+    runs = fusion.sweep(b, a, [10, 60], [0.3, 0.7], [50, 200]).where("rank <= 10")
+    hit = runs.join(_label_qrels(spark, d), ["query_id", "doc_id"], "left").groupBy("k", "w", "depth")
+    swept = hit.agg(F.round(F.avg(F.when(F.col("grade").isNull(), 0).otherwise(1)), 9).alias("p10"), F.round(F.avg(F.coalesce("grade", F.lit(0))), 9).alias("g10"))
+    return analysis.best_settings(swept, ["k", "w", "depth"], ["p10", "g10"])
+
+
+@query("SELECT 'l_quantity' AS feature, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS scale FROM lineitem UNION ALL SELECT 'l_discount', round(avg(l_discount), 6), round(stddev_pop(l_discount), 6) FROM lineitem UNION ALL SELECT 'one', 1, 1")
+def standardisation(spark, d):
+    """Means and deviations of feature columns."""
+    rows = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("l_quantity"), F.col("l_discount").cast("double").alias("l_discount"), F.lit(1.0).alias("one"))
+    return analysis.standardisation(rows, ["l_quantity", "l_discount", "one"]).select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
+
+
+@query(f"WITH {DENSE}, p AS (SELECT query_id, count(*) AS n FROM drun GROUP BY 1) SELECT count(*) AS queries, round(avg(n), 9) AS mean_depth, count(*) FILTER (n > 100) AS too_deep, (SELECT count(*) FROM (SELECT DISTINCT query_id FROM q) WHERE query_id NOT IN (SELECT query_id FROM p)) AS missing_queries, 0::BIGINT AS repeated, (SELECT count(*) FROM drun WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS unknown_documents FROM p")
+def ranking_checks(spark, d):
+    """Defects of a run: missing queries, repeats, too many or unknown documents."""
+    return analysis.ranking_checks(lexical.ranked(_dense(spark, d), 1 << 30), _docs(spark, d), _vector_queries(spark, d), 100)
+
+
+GATE = f"""WITH {DENSE}, m AS (SELECT query_id, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2), 9) AS top1_top2, round(max(score) FILTER (rank = 1) - max(score) FILTER (rank = 10), 9) AS top1_top10 FROM drun WHERE rank <= 11 GROUP BY 1 HAVING count(*) = 11),
+g AS (SELECT query_id, 'top1_top2' AS measure, top1_top2 AS margin FROM m UNION ALL SELECT query_id, 'top1_top10', top1_top10 FROM m), rows AS (SELECT query_id, measure, margin, (query_id // 50) % 13 + 1 AS o, (query_id // 50 * 7) % 11 + 1 AS n FROM g),
+t AS (SELECT measure, 20.0::DOUBLE AS quantile, quantile_cont(margin, 0.2) AS threshold FROM rows GROUP BY 1 UNION ALL SELECT measure, 50.0, quantile_cont(margin, 0.5) FROM rows GROUP BY 1 UNION ALL SELECT measure, 80.0, quantile_cont(margin, 0.8) FROM rows GROUP BY 1),
+x AS (SELECT rows.measure, quantile, threshold, margin <= threshold AS hit, o, n, CASE WHEN margin <= threshold THEN n ELSE o END AS r FROM rows JOIN t USING (measure)),
+s AS (SELECT measure, quantile, round(any_value(threshold), 6) AS threshold, count(*) FILTER (hit) AS gated, count(*) FILTER (n < o) AS gains, count(*) FILTER (n > o) AS harms, count(*) FILTER (n < o AND hit) AS gains_kept, count(*) FILTER (n > o AND NOT hit) AS harms_avoided, round(avg(CASE WHEN r <= 10 THEN 1 / log2(r + 1) ELSE 0 END), 6) AS ndcg, round(avg(CASE WHEN r <= 10 THEN 1.0::DOUBLE / r ELSE 0 END), 6) AS mrr FROM x GROUP BY 1, 2)
+SELECT *, harms > 0 AND 2 * harms_avoided >= harms AND gains > 0 AND 2 * gains_kept >= gains AS eligible FROM s"""
+
+
+@query(GATE)
+def gate_sweep(spark, d):
+    """What gates on two margins at three quantiles would do."""
+    m = rerank.margins(lexical.ranked(_dense(spark, d), 11)).unpivot("query_id", ["top1_top2", "top1_top10"], "measure", "margin")
+    k = F.floor(F.col("query_id") / 50)
+    rows = m.withColumns({"old_rank": (k % 13 + 1).cast("int"), "new_rank": (k * 7 % 11 + 1).cast("int")})
+    out = analysis.gate_sweep(rows, analysis.gate_thresholds(rows, (20, 50, 80)))
+    return out.withColumns({c: F.round(c, 6) for c in ("threshold", "ndcg", "mrr")})
+
+
+@query(f"WITH RECURSIVE {GRAPH}, h(start, id, distance) AS (SELECT id, id, 0 FROM nodes UNION SELECT h.start, nb.dst, h.distance + 1 FROM h JOIN nb ON nb.src = h.id WHERE h.distance < 2), k AS (SELECT start, id, min(distance) AS d FROM h GROUP BY 1, 2) SELECT start, CASE WHEN count(*) > 15 THEN 'SEARCH_LIMIT_REACHED' ELSE 'OK' END AS status FROM k GROUP BY 1")
+def neighbourhood_status(spark, d):
+    """Whether the nodes within two steps of each are more than fifteen."""
+    nodes, adj = _graph(spark, d)
+    return graph.neighbourhood(adj, nodes, 2, 15)[1]
+
+
+@query(f"WITH {_bm25_sql().replace(X.code_tokens_sql('text'), X.code_tokens_sql('text', ()))} SELECT query_id, doc_id, rank::INT AS rank, round(score, 6) AS score FROM run WHERE rank <= 10")
+def bm25_with_stop_words(spark, d):
+    """The ten best documents if stop words are kept."""
+    index, tokens = lexical.build_without_stop_words(_docs(spark, d))
+    return lexical.ranked(lexical.scores(index, _items(spark, d), tokens=tokens), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+SNIPPETS = _bm25_sql().replace("FROM documents)", "FROM folded)").replace("SELECT doc_id, CASE WHEN len(t)", "SELECT h AS doc_id, CASE WHEN len(t)").replace(f"SELECT doc_id, {X.code_tokens_sql('text')} AS t FROM folded", f"SELECT h, {X.code_tokens_sql('text')} AS t FROM folded")
+
+
+@query(
+    "WITH sn AS (SELECT coalesce(source, 'none') AS version, doc_id, text, sha256(text) AS h FROM documents WHERE text IS NOT NULL), "
+    "folded AS (SELECT h, min(text) AS text, list({'o': version, 'd': doc_id} ORDER BY version, doc_id) AS m FROM sn GROUP BY h), " + SNIPPETS
+    + " SELECT query_id, rank::INT AS rank, run.doc_id AS content_hash, m[1].d AS id, len(m) AS n_occurrences, array_to_string(list_sort(list_distinct(list_transform(m, lambda x: x.o))), ',') AS versions, md5(array_to_string(list_transform(m, lambda x: x.o || ':' || x.d), ',')) AS occurrences_md5 FROM run JOIN folded ON folded.h = run.doc_id WHERE rank <= 5"
+)
+def snippet_search(spark, d):
+    """The five best distinct texts of all sources, with all documents that hold them."""
+    rows = _docs(spark, d).where("text is not null").select(F.coalesce("source", F.lit("none")).alias("version"), F.coalesce("source", F.lit("none")).alias("version_order"), "doc_id", "text")
+    out = versions.snippet_search(_items(spark, d), rows, k=5)
+    joined = F.array_join("occurrences", ",")
+    return out.select("query_id", "rank", F.sha2("text", 256).alias("content_hash"), "id", F.size("occurrences").cast("long").alias("n_occurrences"), F.array_join("versions", ",").alias("versions"), F.md5(joined.cast("binary")).alias("occurrences_md5"))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('s1:' || doc_id::VARCHAR), doc_id) AS n FROM documents) WHERE n <= 3")
+def hash_samples(spark, d):
+    """Three documents of every source, the same in every run."""
+    return analysis.hash_sample(_docs(spark, d).select("doc_id", "source"), "s1", 3, "source", "doc_id")

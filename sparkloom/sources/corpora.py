@@ -112,3 +112,15 @@ def dataset_report(docs: DataFrame, queries: DataFrame, qrels: DataFrame) -> Dat
     bad = qrels.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("dangling_documents"))
     badq = qrels.join(queries.select("query_id").distinct(), "query_id", "left_anti").agg(F.count("*").alias("dangling_queries"))
     return docs.agg(F.count("*").alias("documents")).crossJoin(queries.agg(F.count("*").alias("queries"))).crossJoin(dup).crossJoin(bad).crossJoin(badq)  # one row each
+
+
+def check_packed(packed: DataFrame) -> DataFrame:
+    """query_id of the packed rankings (query_id, docs, sha256) whose list does not have its digest; none if all are sound."""
+    return packed.where(F.col("sha256").isNull() | (F.sha2("docs", 256) != F.col("sha256"))).select("query_id")
+
+
+def vector_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """doc_id, vector of Parquet shards, aligned by id and never by place; an id in two shards is an error as it is read."""
+    rows = spark.read.parquet(*paths).select("doc_id", "vector")
+    n = F.count("*").over(Window.partitionBy("doc_id"))
+    return rows.withColumn("_n", n).withColumn("vector", F.when(F.col("_n") == 1, F.col("vector")).otherwise(F.raise_error(F.lit("an id is in two shards")))).drop("_n")
