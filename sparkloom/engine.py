@@ -14,6 +14,17 @@ from sparkloom.settings import DEFAULT, Settings
 from sparkloom.sources import repositories, store
 
 
+#: The longest question, path, version name and symbol that are looked at, in characters.
+LONGEST = {"query": 32_000, "path": 4096, "version": 200, "symbol": 1000}
+
+
+def checked(kind: str, value: str) -> str:
+    """A text of a request; an empty one or one that is too long is an error."""
+    if not isinstance(value, str) or not 1 <= len(value) <= LONGEST[kind]:
+        raise ValueError(f"{kind}: 1 to {LONGEST[kind]} characters")
+    return value
+
+
 class Engine:
     """Versions live below ``folder``, each under a key made of its content and the settings; names are aliases of keys.
 
@@ -42,7 +53,7 @@ class Engine:
         ``mode`` is noop for a version that is stored already, incremental if unchanged files of the last version of
         that name were not read again, else full.  A failure leaves names and stored versions as they were.
         """
-        files, warnings, key = self._read(repo, version)
+        files, warnings, key = self._read(checked("path", repo), checked("version", version))
         before = store.alias(self.spark, self.folder, repo, version)
         if store.stored(self.spark, self.folder, key):
             manifest, mode = self._load(key)[1], "noop"
@@ -83,7 +94,7 @@ class Engine:
 
     def key(self, version: str = "working-tree") -> str:
         """The key that a name of the active repository stands for; any other name is a key itself."""
-        return store.alias(self.spark, self.folder, self.repo, version) or version
+        return store.alias(self.spark, self.folder, self.repo, checked("version", version)) or version
 
     def tables(self, version: str = "working-tree") -> dict[str, DataFrame]:
         """The tables of a version, by its name in the active repository or by its key."""
@@ -108,9 +119,9 @@ class Engine:
 
     def search(self, query: str, version: str = "working-tree", top_k: int = 10, agentic: bool = True, mode: str | None = None) -> dict:
         """investigate() over a stored version, with its vectors if it has some; the mode is that of the settings."""
-        query = query.strip()
-        if not query or not 1 <= top_k <= 50:
-            raise ValueError("an empty query, or top_k out of 1 to 50")
+        query = checked("query", checked("query", query).strip())
+        if not 1 <= top_k <= 50:
+            raise ValueError("top_k out of 1 to 50")
         key = self.key(version)
         t = self._load(key)[0]
         docs, semantic = t["chunks"], None
@@ -127,6 +138,7 @@ class Engine:
         if not 1 <= max_depth <= 8:
             raise ValueError("max_depth out of 1 to 8")
         t = self.tables(version)
+        source, target = checked("symbol", source), checked("symbol", target)
         found = graph.trace(t["symbols"], self._adjacency(t), source, target, max_depth)
         nodes, edges = graph.subgraph(t["symbols"], t["edges"], self.spark.createDataFrame([(x,) for x in found["ids"]], "id string"))
         if investigate.invalid_graph(nodes, edges, t["symbols"], t["edges"], t["files"]).limit(1).count():

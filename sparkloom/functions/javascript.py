@@ -51,9 +51,10 @@ class File:
     has_errors: bool = False
 
 
-def tokens(text: str) -> tuple[list[Tok], bool]:
-    """(tokens without white space and comments, whether something could not be read)."""
+def tokens(text: str) -> tuple[list[Tok], bool, list[Tok]]:
+    """(tokens without white space and comments, whether something could not be read, comments)."""
     out: list[Tok] = []
+    comments: list[Tok] = []
     at, line, bad = 0, 1, False
     while at < len(text):
         if text[at] == "`":
@@ -79,11 +80,11 @@ def tokens(text: str) -> tuple[list[Tok], bool]:
             bad, at = True, at + 1
             continue
         kind = m.lastgroup
-        if kind not in ("ws", "comment"):
-            out.append(Tok(kind, m[0], at, m.end(), line))
+        if kind != "ws":
+            (comments if kind == "comment" else out).append(Tok(kind, m[0], at, m.end(), line))
         line += m[0].count("\n")
         at = m.end()
-    return out, bad
+    return out, bad, comments
 
 
 def _template_end(text: str, at: int) -> int:
@@ -113,7 +114,7 @@ class Reader:
 
     def __init__(self, path: str, source: str):
         self.file = File(path, source)
-        self.t, bad = tokens(source)
+        self.t, bad, self.comments = tokens(source)
         self.match = {}
         stack = []
         for i, t in enumerate(self.t):
@@ -166,13 +167,27 @@ class Reader:
         key = f"#{len(self.file.symbols)}"
         around, outer = (parent["_class"], parent["_scope"]) if parent else (None, MODULE)
         s = self.span(self.t[first].at, self.t[min(end, len(self.t)) - 1].end) | {
-            "symbol_id": key, "name": name, "kind": kind, "parent_symbol_id": parent and parent["symbol_id"], "parameters": params, "method_kind": method_kind,
+            "symbol_id": key, "name": name, "kind": kind, "parent_symbol_id": parent and parent["symbol_id"], "parameters": params, "method_kind": method_kind, "comments": self.comments_before(first),
             "_class": key if kind == "class" else None if kind == "function" else around, "_scope": outer if kind == "class" else key,
         }
         self.file.symbols.append(s)
         self.file.shadowed[key] = set(params)
         return s
 
+    def comments_before(self, first: int, near: int = 3) -> list[str]:
+        """The comments right before the statement of token ``first`` that end at most ``near`` lines above it."""
+        line, i = self.t[first].line, first
+        while i and self.text(i - 1) in ("export", "default", "const", "let", "var", "async"):
+            i -= 1
+        begin, end = self.t[i - 1].end if i else 0, self.t[i].at
+        out: list[str] = []
+        at = [c.at for c in self.comments]
+        for c in reversed(self.comments[bisect.bisect_left(at, begin) : bisect.bisect_left(at, end)]):
+            if line - (c.line + c.text.count("\n")) >= near:
+                break
+            out.insert(0, c.text)
+        return out
+
     def _finish(self) -> None:
         """Turns numbers into ids: path and qualified name, with the place of all but the first of an equal name."""
         ids: dict[str | None, str] = {None: None, MODULE: MODULE}
@@ -598,7 +613,7 @@ class Reader:
         edges = [at for at in self.line_starts[::size] if at < len(self.file.source)]
         for n, (begin, end) in enumerate(zip(edges, [*edges[1:], len(self.file.source)], strict=True), 1):
             name = f"<module:{n}>"
-            place = {"symbol_id": f"{self.file.path}::{name}", "qualified_name": name, "name": name, "kind": "module", "file_path": self.file.path, "parent_symbol_id": None, "parameters": [], "is_test": self.is_test, "method_kind": "normal"}
+            place = {"symbol_id": f"{self.file.path}::{name}", "qualified_name": name, "name": name, "kind": "module", "file_path": self.file.path, "parent_symbol_id": None, "parameters": [], "comments": [], "is_test": self.is_test, "method_kind": "normal"}
             self.file.symbols.append(place | self.span(begin, end))
 
 

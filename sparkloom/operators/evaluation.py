@@ -150,20 +150,22 @@ def cross_check(a: DataFrame, b: DataFrame, tolerance: float = 1e-9) -> DataFram
 
 
 def percentiles(df: DataFrame, column: str, points: tuple[int, ...] = (50, 90, 95, 99, 100)) -> DataFrame:
-    """point, nearest (rank rounded half to even) and linear percentiles of a column.
+    """point and four percentiles of a column with n values: nearest (place round(p (n - 1)), half to even), linear,
+    upper (place floor(p n), the last at most) and lower (place floor(p (n - 1))).
 
-    The sorted values are numbered by a distributed sort and only the wanted ranks are picked.
+    Distinct values are counted first, so only their table is numbered, and only the wanted places are picked.
     """
     spark = df.sparkSession
-    n = df.where(F.col(column).isNotNull()).count()
-    want = spark.createDataFrame([(p, int(round(p / 100 * (n - 1)))) for p in points] if n else [], "point int, at long")
-    cells = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c"))
-    run = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)  # over distinct values
-    cum = cells.withColumn("upto", F.sum("c").over(run))
-    nearest = want.join(cum, F.col("upto") > F.col("at")).groupBy("point").agg(F.min(column).alias("nearest"))
+    known = df.where(F.col(column).isNotNull())
+    n = known.count()
+    places = [(p, int(round(p / 100 * (n - 1))), min(n - 1, p * n // 100), p * (n - 1) // 100) for p in points] if n else []
+    want = spark.createDataFrame([(p, kind, at) for p, *ats in places for kind, at in zip(("nearest", "upper", "lower"), ats, strict=True)], "point int, kind string, at long")
+    cum = known.groupBy(column).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)))  # distinct values
+    hit = cum.join(F.broadcast(want), F.col("upto") > F.col("at")).groupBy("point", "kind").agg(F.min(column).alias("v"))
+    picked = hit.groupBy("point").agg(*[F.max(F.when(F.col("kind") == k, F.col("v"))).alias(k) for k in ("nearest", "upper", "lower")])
     lin = df.agg(F.percentile(column, F.array(*[F.lit(p / 100) for p in points])).alias("v")).select(F.posexplode("v").alias("i", "linear"))
     lin = lin.withColumn("point", F.element_at(F.array(*[F.lit(p) for p in points]), F.col("i") + 1))
-    return nearest.join(lin.select("point", "linear"), "point")
+    return picked.join(lin.select("point", "linear"), "point")
 
 
 def hard_negatives(run: DataFrame, qrels: DataFrame, docs: DataFrame, k: int = 20) -> DataFrame:

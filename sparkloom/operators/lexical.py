@@ -67,9 +67,10 @@ def scores(index: LexicalIndex, queries: DataFrame, k1: float = DEFAULT.k1, b: f
     return parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score")).where("score > 0")
 
 
-def ranked(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
-    """The k best of each query with their ranks from 1: by score, then by doc_id as text."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), F.col("doc_id").cast("string"))
+def ranked(scored: DataFrame, k: int, by: str = "query_id", index: str | None = None) -> DataFrame:
+    """The k best of each query with their ranks from 1: by score, then by doc_id as text, or by a column that numbers
+    the documents as a stable sort of them would."""
+    order = Window.partitionBy(by).orderBy(F.desc("score"), F.col("doc_id").cast("string") if index is None else F.col(index))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -87,3 +88,12 @@ def build_without_stop_words(docs: DataFrame, text: str = "text", title: str | N
     """An index that keeps stop words, and the tokenizer that queries need for it: what an ablation compares with."""
     tokens = lambda c: code_tokens(c, ())
     return build(docs, tokens, text, title), tokens
+
+
+def rank_of(scored: DataFrame, wanted: DataFrame, index: str = "index") -> DataFrame:
+    """query_id, doc_id, rank of one document of each query (query_id, doc_id): the scores (query_id, doc_id, score, index)
+    above its own, and equal ones of a smaller index, plus one.  Nothing is sorted."""
+    own = scored.join(wanted.select("query_id", "doc_id"), ["query_id", "doc_id"]).select("query_id", F.col("doc_id").alias("_d"), F.col("score").alias("_s"), F.col(index).alias("_i"))
+    both = scored.join(small(own), "query_id")
+    before = (F.col("score") > F.col("_s")) | ((F.col("score") == F.col("_s")) & (F.col(index) < F.col("_i")))
+    return both.groupBy("query_id", F.col("_d").alias("doc_id")).agg((F.count_if(before) + 1).cast("int").alias("rank"))

@@ -14,7 +14,7 @@ from sparkloom.functions.javascript import CALLABLE, COMPUTED, MODULE, File, rea
 from sparkloom.functions.text import WORD_CHAR
 from sparkloom.operators._size import saved
 
-SYMBOL = "struct<symbol_id:string,qualified_name:string,name:string,kind:string,file_path:string,start_line:int,end_line:int,start_byte:long,end_byte:long,parent_symbol_id:string,source_text:string,content_hash:string,parameters:array<string>,is_test:boolean,method_kind:string,scopes:array<string>>"
+SYMBOL = "struct<symbol_id:string,qualified_name:string,name:string,kind:string,file_path:string,start_line:int,end_line:int,start_byte:long,end_byte:long,parent_symbol_id:string,source_text:string,content_hash:string,parameters:array<string>,is_test:boolean,method_kind:string,comments:array<string>,scopes:array<string>>"
 CALL = "struct<source:string,callee:string,callee_type:string,class:string,line:int,end_line:int,start_byte:long,end_byte:long,expression:string,statement_byte:long,sequence_eligible:boolean>"
 FACTS = {
     "symbols": SYMBOL,
@@ -69,7 +69,7 @@ def chunks(parsed: DataFrame) -> DataFrame:
     """Callables with the text that they are searched by: path, name, imports that the source uses, source."""
     s = parsed.select("imports", F.explode("symbols").alias("s")).select("imports", "s.*").drop("scopes").where(F.col("kind").isin(*CALLABLE))
     used = F.filter("imports.alias", lambda n: F.regexp_like("source_text", F.concat(F.lit(f"(^|[^{WORD_CHAR[1:-1]}])\\Q"), n, F.lit(f"\\E($|[^{WORD_CHAR[1:-1]}])"))))
-    text = F.concat_ws("\n", "file_path", "qualified_name", F.array_join(used, " "), "source_text")
+    text = F.concat_ws("\n", "file_path", "qualified_name", F.array_join(used, " "), "comments", "source_text")
     return s.select(F.col("symbol_id").alias("doc_id"), "file_path", "qualified_name", "kind", "start_line", "end_line", F.col("source_text"), text.alias("text"), "content_hash", "is_test")
 
 

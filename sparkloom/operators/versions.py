@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,27 @@ from sparkloom.operators import fusion, lexical
 def snapshot_hash(files: DataFrame) -> DataFrame:
     """version_key, snapshot_hash: sha-256 over path NUL source NUL in order of paths.
 
-    A version's sources meet in one row; scans bound their sum (max_total_bytes).
+    Files of a version come sorted to one task, which hashes them as a stream: no version has to fit in memory.  Rows
+    without a path or source add nothing.
     """
-    part = F.concat("path", F.lit("\0"), "source", F.lit("\0"))
-    rows = files.groupBy("version_key").agg(F.sort_array(F.collect_list(F.struct("path", part.alias("x")))).alias("f"))
-    return rows.select("version_key", F.sha2(F.array_join(F.transform("f", lambda e: e["x"]), ""), 256).alias("snapshot_hash"))
+
+    def run(batches):
+        key, digest, open_ = None, None, False
+        for batch in batches:
+            out = []
+            for version, path, source in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not open_ or version != key:
+                    if open_:
+                        out.append((key, digest.hexdigest()))
+                    key, digest, open_ = version, hashlib.sha256(), True
+                if path is not None and source is not None:
+                    digest.update(f"{path}\0{source}\0".encode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(2)], ["version_key", "snapshot_hash"])
+        if open_:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (key, digest.hexdigest())] if key is not None else [pa.array([None], pa.string()), pa.array([digest.hexdigest()])], ["version_key", "snapshot_hash"])
+
+    rows = files.select(F.col("version_key").cast("string").alias("version_key"), "path", "source").repartition("version_key").sortWithinPartitions("version_key", "path")
+    return rows.mapInArrow(run, "version_key string, snapshot_hash string")
 
 
 def file_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -162,13 +162,13 @@ def corpus_token_df(spark, d):
 
 @query(
     "WITH x AS (SELECT len(regexp_extract_all(text, '[^ \\t\\n\\r]+'))::BIGINT AS n FROM documents), s AS (SELECT list_sort(list(n)) AS a, count(*) AS c FROM x), "
-    "p AS (SELECT unnest([50, 90, 95, 99, 100]) AS point) SELECT point::INT AS point, a[(round_even(point / 100 * (c - 1), 0))::INT + 1] AS nearest, "
-    "round((SELECT quantile_cont(n, point::DOUBLE / 100) FROM x), 6) AS linear FROM p, s".replace("(SELECT quantile_cont(n, point::DOUBLE / 100) FROM x)", "CASE point WHEN 50 THEN (SELECT quantile_cont(n, 0.5) FROM x) WHEN 90 THEN (SELECT quantile_cont(n, 0.9) FROM x) WHEN 95 THEN (SELECT quantile_cont(n, 0.95) FROM x) WHEN 99 THEN (SELECT quantile_cont(n, 0.99) FROM x) ELSE (SELECT max(n) FROM x) END::DOUBLE")
+    "p AS (SELECT unnest([50, 90, 95, 99, 100]) AS point) SELECT point::INT AS point, a[(round_even(point / 100 * (c - 1), 0))::INT + 1] AS nearest, a[least(c - 1, point * c // 100)::INT + 1] AS upper, a[(point * (c - 1) // 100)::INT + 1] AS lower, "
+    "round(CASE point WHEN 50 THEN (SELECT quantile_cont(n, 0.5) FROM x) WHEN 90 THEN (SELECT quantile_cont(n, 0.9) FROM x) WHEN 95 THEN (SELECT quantile_cont(n, 0.95) FROM x) WHEN 99 THEN (SELECT quantile_cont(n, 0.99) FROM x) ELSE (SELECT max(n) FROM x) END::DOUBLE, 6) AS linear FROM p, s"
 )
 def length_stats(spark, d):
-    """Percentiles of text lengths by two definitions."""
+    """Percentiles of text lengths by four definitions."""
     n = _docs(spark, d).select(F.regexp_count("text", F.lit(r"[^ \t\n\r]+")).cast("long").alias("n"))
-    return evaluation.percentiles(n, "n").select("point", "nearest", F.round("linear", 6).alias("linear"))
+    return evaluation.percentiles(n, "n").withColumn("linear", F.round("linear", 6))
 
 
 @query(
@@ -681,11 +681,11 @@ def _rank(spark, d, mode):
     return fusion.rank(items, chunks, lex, dense.scores(qv, v, 0.05), mode)
 
 
-_RANKED_COLUMNS = "query_id, doc_id, rank::INT AS rank, round(score, 7) AS score, lr::INT AS lexical_rank, sr::INT AS semantic_rank, exact AS exact_symbol_match, round(overlap, 9) AS name_overlap"
+_RANKED_COLUMNS = "query_id, doc_id, rank::INT AS rank, score, lr::INT AS lexical_rank, sr::INT AS semantic_rank, exact AS exact_symbol_match, round(overlap, 9) AS name_overlap"
 
 
 def _ranked_rows(df):
-    return df.where("rank <= 20").select("query_id", "doc_id", "rank", F.round("score", 7).alias("score"), "lexical_rank", "semantic_rank", "exact_symbol_match", F.round("name_overlap", 9).alias("name_overlap"))
+    return df.where("rank <= 20").select("query_id", "doc_id", "rank", "score", "lexical_rank", "semantic_rank", "exact_symbol_match", F.round("name_overlap", 9).alias("name_overlap"))
 
 
 @query(_ranked_sql("hybrid") + f"SELECT {_RANKED_COLUMNS} FROM rr WHERE rank <= 20")
@@ -712,11 +712,11 @@ def match_basis(spark, d):
     return fusion.match_basis(_rank(spark, d, "dense").where("rank <= 3"))
 
 
-@query(_ranked_sql("hybrid") + ", re AS (SELECT query_id, doc_id, score AS s FROM rr UNION ALL SELECT query_id, doc_id, 0.12::DOUBLE / (60 + rank) FROM run WHERE rank <= 50) SELECT query_id, doc_id, round(round(sum(s), 12), 7) AS score FROM re GROUP BY 1, 2")
+@query(_ranked_sql("hybrid") + ", re AS (SELECT query_id, doc_id, score AS s FROM rr UNION ALL SELECT query_id, doc_id, 0.12::DOUBLE / (60 + rank) FROM run WHERE rank <= 50) SELECT query_id, doc_id, round(sum(s), 12) AS score FROM re GROUP BY 1, 2")
 def refine_scores(spark, d):
     """Scores of a first ranking with a second one added by its ranks."""
     second = lexical.ranked(lexical.scores(lexical.build(_docs(spark, d)), _items(spark, d)), 50)
-    return fusion.refine(_rank(spark, d, "hybrid"), second).select("query_id", "doc_id", F.round("score", 7).alias("score"))
+    return fusion.refine(_rank(spark, d, "hybrid"), second).select("query_id", "doc_id", "score")
 
 
 # rerankers --------------------------------------------------------------------------------------------------------
@@ -953,3 +953,11 @@ def snippet_search(spark, d):
 def hash_samples(spark, d):
     """Three documents of every source, the same in every run."""
     return analysis.hash_sample(_docs(spark, d).select("doc_id", "source"), "s1", 3, "source", "doc_id")
+
+
+@query(f"WITH {DENSE}, w AS (SELECT query_id, min(doc_id) AS doc_id FROM qrels GROUP BY 1), o AS (SELECT dall.query_id, dall.doc_id, dall.score FROM dall JOIN w ON w.query_id = dall.query_id AND w.doc_id = dall.doc_id) SELECT o.query_id, o.doc_id, (count(*) FILTER (d.score > o.score OR (d.score = o.score AND d.doc_id < o.doc_id)) + 1)::INT AS rank FROM o JOIN dall d ON d.query_id = o.query_id GROUP BY 1, 2")
+def stable_rank(spark, d):
+    """Where one relevant document of each query stands, without sorting the others."""
+    every = dense.scores(_vector_queries(spark, d).select("query_id", "qvec"), _vectors(spark, d), None).where("query_id != doc_id")
+    wanted = _label_qrels(spark, d).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
+    return lexical.rank_of(every.withColumn("index", F.col("doc_id")), wanted)

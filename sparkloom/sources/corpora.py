@@ -124,3 +124,18 @@ def vector_shards(spark: SparkSession, paths: list[str]) -> DataFrame:
     rows = spark.read.parquet(*paths).select("doc_id", "vector")
     n = F.count("*").over(Window.partitionBy("doc_id"))
     return rows.withColumn("_n", n).withColumn("vector", F.when(F.col("_n") == 1, F.col("vector")).otherwise(F.raise_error(F.lit("an id is in two shards")))).drop("_n")
+
+
+def write_evidence(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines."""
+    rows.write.mode("errorifexists").json(path)
+
+
+def markdown(rows: DataFrame, most: int = 200) -> str:
+    """A small table as Markdown; one of more than ``most`` rows is an error, as a report is read by people."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
+    lines_ = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join(lines_ + ["| " + " | ".join(map(cell, r)) + " |" for r in got]) + "\n"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import lines, safe_path, useful_path
+from sparkloom.functions.text import EXCLUDED, EXTENSIONS, lines, safe_path, useful_path
 from sparkloom.settings import DEFAULT, Settings
 
 FILES = "path string, source string, content_sha string"
@@ -63,7 +63,10 @@ def working_tree(spark: SparkSession, repo: str, settings: Settings = DEFAULT) -
     path = F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), prefix, F.lit("")))
     rows = raw.select(path.alias("path"), "length", "content")
     allowed = allow_list(repo)
-    real = [os.path.relpath(os.path.join(d, f), repo) for d, _, names in os.walk(repo) for f in names if not os.path.islink(os.path.join(d, f)) and f.endswith((".js", ".mjs", ".cjs", ".jsx"))]
+    real = []
+    for d, folders, found in os.walk(repo):
+        folders[:] = [f for f in folders if f not in EXCLUDED]  # folders that are never scanned are not entered
+        real += [os.path.relpath(os.path.join(d, f), repo) for f in found if f.endswith(EXTENSIONS) and not os.path.islink(os.path.join(d, f))]
     names = real if allowed is None else sorted(set(real) & set(allowed))
     listing = spark.createDataFrame([(p,) for p in names], "path string")
     return _guarded(_kept(rows.join(listing, "path", "left_semi"), settings), settings)

@@ -133,6 +133,15 @@ def test_choice_of_a_gate_and_small_helpers(spark, tmp_path):
         corpora.vector_shards(spark, [f"{tmp_path}/s1", f"{tmp_path}/s2"]).collect()
 
 
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a|b"), (2, None)], "n int, t string").orderBy("n")
+    assert corpora.markdown(rows) == "| n | t |\n|---|---|\n| 1 | a\\|b |\n| 2 |  |\n"
+    with pytest.raises(ValueError):
+        corpora.markdown(rows, 1)
+    corpora.write_evidence(rows, f"{tmp_path}/e")
+    assert spark.read.json(f"{tmp_path}/e").count() == 2
+
+
 def test_snippets_of_several_versions(spark):
     rows = [("v1", 1, 7, "sort the list"), ("v2", 2, 7, "sort the list"), ("v2", 2, 8, "sort the list quickly"), ("v1", 1, 9, "nothing here")]
     snippets = spark.createDataFrame(rows, "version string, version_order int, doc_id long, text string")

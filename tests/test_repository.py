@@ -30,6 +30,8 @@ def test_reader_sees_names_and_scopes():
     assert [(s["name"], s["kind"], s["method_kind"]) for s in f.symbols] == [("test:works", "test", "normal"), ("A", "class", "normal"), ("s", "method", "static"), ("g", "method", "get"), ("m", "method", "field"), ("f", "function", "normal")]
     assert all(s["is_test"] for s in f.symbols) and f.exports["f"] == "a.test.js::f"
     assert read("b.js", "function (").has_errors
+    f = read("d.js", "// far\n\n\n\n\n// of f\n/* too */\nexport function f() {}\nclass A {\n  // of m\n  m() { /* inside */ }\n}\nconst g = () => 1;\n")
+    assert {s["name"]: s["comments"] for s in f.symbols} == {"f": ["// of f", "/* too */"], "A": [], "m": ["// of m"], "g": []}
     assert [s["kind"] for s in read("c.js", "var a = 1;\n" * 100).symbols] == ["module", "module"]
 
 
