@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import code_tokens
@@ -75,13 +75,16 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", index: str | None =
 
 
 def grid(index: LexicalIndex, queries: DataFrame, settings: list[tuple[float, float]], tokens=code_tokens) -> DataFrame:
-    """k1, b, query_id, doc_id, score for all settings in one job: settings are rows that meet the term frequencies."""
-    spark = queries.sparkSession
-    conf = spark.createDataFrame(settings, "k1 double, b double")
-    hits = index.hits(query_terms(queries, tokens)).crossJoin(F.broadcast(conf))  # the settings of one grid
-    norm = F.col("k1") * (1 - F.col("b") + F.col("b") * F.col("len") / F.col("avg_len"))
-    s = F.col("times") * F.col("idf") * F.col("tf") * (F.col("k1") + 1) / (F.col("tf") + norm)
-    return hits.groupBy("k1", "b", "query_id", "doc_id").agg(F.round(F.sum(s), 9).alias("score")).where("score > 0")
+    """k1, b, query_id, doc_id, score for all settings in one job: a sum a setting, so postings are read and grouped once."""
+    hits = index.hits(query_terms(queries, tokens))
+
+    def score(k1: float, b: float) -> Column:
+        norm = F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("len") / F.col("avg_len"))
+        return F.round(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (F.lit(k1) + 1) / (F.col("tf") + norm)), 9)
+
+    sums = hits.groupBy("query_id", "doc_id").agg(*[score(float(k1), float(b)).alias(f"s{i}") for i, (k1, b) in enumerate(settings)])
+    rows = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), F.col(f"s{i}").alias("score")) for i, (k1, b) in enumerate(settings)])
+    return sums.select("query_id", "doc_id", F.explode(rows).alias("r")).select("r.k1", "r.b", "query_id", "doc_id", "r.score").where("score > 0")
 
 
 def build_without_stop_words(docs: DataFrame, text: str = "text", title: str | None = None) -> tuple[LexicalIndex, Callable]:

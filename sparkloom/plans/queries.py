@@ -120,11 +120,12 @@ def bm25_title_boost(spark, d):
     return lexical.ranked(lexical.scores(index, _items(spark, d)), 10).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-GRID = [(1.2, 0.5), (1.5, 0.75), (2.0, 0.9)]
+# fixed values: the grid of settings and the untuned ones
+GRID = [(k1, b) for k1 in (0.8, 1.0, 1.2, 1.4, 1.6) for b in (0.2, 0.35, 0.5, 0.65, 0.75)] + [(1.5, 0.75)]
 
 
 @query(
-    f"WITH {_bm25_sql()}, conf AS (SELECT * FROM (VALUES (1.2::DOUBLE, 0.5::DOUBLE), (1.5::DOUBLE, 0.75::DOUBLE), (2.0::DOUBLE, 0.9::DOUBLE)) AS c(k1, b)), "
+    f"WITH {_bm25_sql()}, conf AS (SELECT * FROM (VALUES {', '.join(f'({k1}::DOUBLE, {b}::DOUBLE)' for k1, b in GRID)}) AS c(k1, b)), "
     "g AS (SELECT k1, b, query_id, doc_id, round(sum(times * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / avg_len))), 9) AS score "
     "FROM tf JOIN qt USING (term) JOIN df USING (term), st, conf GROUP BY 1, 2, 3, 4) "
     "SELECT k1, b, count(*) AS n, round(max(score), 6) AS top, round(sum(score) / 1000, 3) AS total FROM g WHERE score > 0 GROUP BY 1, 2"
@@ -326,7 +327,7 @@ def paired_bootstrap(spark, d):
     q = _label_qrels(spark, d)
     a, b = [evaluation.metrics(lexical.ranked(r(spark, d), 1000), q).select("query_id", F.col("ndcg").alias(n)) for r, n in ((_dense, "x"), (_lexical_labels, "y"))]
     rows = a.join(b, "query_id").join(_vector_queries(spark, d).select("query_id", "label"), "query_id").withColumn("delta", F.col("y") - F.col("x"))
-    return evaluation.bootstrap(rows, "label", 500)
+    return evaluation.bootstrap(rows, "label")
 
 
 @query("SELECT item_id AS query_id, CASE WHEN ('0x' || substr(sha256('split-v1:' || item_id), 1, 8))::BIGINT % 100 < 50 THEN 'dev' ELSE 'confirmation' END AS part FROM benchmark")
