@@ -9,6 +9,8 @@ queries first meets the block that promises most, which gives the kth scores to
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,6 +42,17 @@ class CoverTree:
         self.centre, self.radius = np.array(self.centre, int), np.array(self.radius, float)
         self.norm = np.sqrt((self.points[self.centre] ** 2).sum(1)) if len(points) else np.zeros(0)
 
+    def shape(self) -> bytes:
+        """The tree without its points, to be stored beside them."""
+        return pickle.dumps((self.order, self.first, self.last, self.centre, self.radius, self.children, self.norm))
+
+    @classmethod
+    def restored(cls, points: np.ndarray, shape: bytes) -> CoverTree:
+        tree = cls.__new__(cls)
+        tree.points = points
+        tree.order, tree.first, tree.last, tree.centre, tree.radius, tree.children, tree.norm = pickle.loads(shape)
+        return tree
+
     def _grow(self, a: int, b: int, centre: int, dist: np.ndarray, scale: float, leaf: int) -> int:
         """A node over order[a:b]; dist: of these points to the centre."""
         me = len(self.first)
@@ -157,11 +170,17 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, que
     Of equal vectors only the k + 1 smallest ids can appear (one may be the query itself); the others are never
     needed, so any number of copies costs one.  Blocks have a bounded number of rows; a crowded cell is dealt to
     several.  The centres that deal vectors to cells come from a bounded sample and decide speed only: every
-    vector is indexed and the bounds hold whatever the cells are.
+    vector is indexed and the bounds hold whatever the cells are.  A block's tree is built once and stored with it.
+
+    Scores are summed in doubles: they are exact as long as the squared length of every quantised vector is below
+    2^53 (64 components of 46,000 before quantisation); a table beyond that is an error.
     """
     spark = table.sparkSession
     rows = written(quantised(table).distinct(), "vectors")
-    n_rows = rows.count()
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    n_rows, longest = rows.agg(F.count("*"), F.max(squares)).first()
+    if longest is not None and longest >= 2.0**53:
+        raise ValueError("vectors are too long for exact scores")
     order = Window.partitionBy("v").orderBy("vec_id")
     slim = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1).drop("_n")
     queries = rows.where(F.col("vec_id") % every == 0)
@@ -193,9 +212,9 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, que
         def run(key, pdf):
             x = _matrix(pdf["v"])
             mean = x.mean(0)
-            return pd.DataFrame({name: [key[0]], f"{name}_mean": [mean.tolist()], f"{name}_radius": [float(np.sqrt(((x - mean) ** 2).sum(1)).max())], f"{name}_ids": [pdf["vec_id"].tolist()], f"{name}_v": [_packed(x)]})
+            return pd.DataFrame({name: [key[0]], f"{name}_mean": [mean.tolist()], f"{name}_radius": [float(np.sqrt(((x - mean) ** 2).sum(1)).max())], f"{name}_ids": [pdf["vec_id"].tolist()], f"{name}_v": [_packed(x)], f"{name}_tree": [CoverTree(x).shape()]})
 
-        return run, f"{name} string, {name}_mean array<double>, {name}_radius double, {name}_ids array<long>, {name}_v binary"
+        return run, f"{name} string, {name}_mean array<double>, {name}_radius double, {name}_ids array<long>, {name}_v binary, {name}_tree binary"
 
     refs = written(blocked(slim, block).groupBy("block").applyInPandas(*summary("r")), "references")
     asks = written(blocked(queries, query_block).groupBy("block").applyInPandas(*summary("q")), "queries")
@@ -212,8 +231,8 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, que
         for pdf in pdf_iter:
             for row in pdf.itertuples(index=False):
                 own, ids = np.array(row.q_ids), np.array(row.r_ids)
-                q = CoverTree(_unpacked(row.q_v, len(own)))
-                r = CoverTree(_unpacked(row.r_v, len(ids)))
+                q = CoverTree.restored(_unpacked(row.q_v, len(own)), row.q_tree)
+                r = CoverTree.restored(_unpacked(row.r_v, len(ids)), row.r_tree)
                 best = np.full((len(own), k), -np.inf)
                 best_id = np.full((len(own), k), np.iinfo(np.int64).max)
                 if row.q_worst is not None and len(row.q_worst):
@@ -228,9 +247,9 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, que
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
     def run(which: DataFrame, worst: DataFrame | None) -> DataFrame:
-        left = asks.select("q", "q_ids", "q_v")
+        left = asks.select("q", "q_ids", "q_v", "q_tree")
         left = left.join(worst, "q") if worst is not None else left.withColumn("q_worst", F.lit(None).cast("array<double>"))
-        return which.select("q", "r").join(left, "q").join(refs.select("r", "r_ids", "r_v"), "r").mapInPandas(search, found_schema)
+        return which.select("q", "r").join(left, "q").join(refs.select("r", "r_ids", "r_v", "r_tree"), "r").mapInPandas(search, found_schema)
 
     first = written(run(seeds, None), "first")
     kth = first.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") == k).select("q", "query_id", "score")
