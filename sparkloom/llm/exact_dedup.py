@@ -18,6 +18,8 @@ from sparkloom.llm._common import ascii_lower, pick, slices, written
 
 #: A cut falls where the rolling hash's low bits are zero: every 2 ** BITS bytes on average.
 BITS, LEAST, MOST, REACH = 11, 1024, 65536, 16
+#: A recipe that more rows share, and more than a HOT_GROUPS-th of all, is met by a broadcast and never in one task.
+HOT, HOT_GROUPS = 1000, 10_000
 #: Bytes of the short identifier of a chunk.
 SHORT = 8
 
@@ -88,7 +90,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     recipe = F.array_join(F.transform("chunks", lambda c: F.hex(F.substring(c, 1, width))), "")
     rows = digests.select("doc_id", "text_sha256", F.size("chunks").alias("n_chunks"), F.unhex(recipe).alias("recipe"))
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    joined = rows.join(groups, "recipe", "left")  # adaptive execution splits a recipe that many rows share
+    groups = written(groups, "groups")
+    hot = F.col("group_size") > max(HOT, digests.count() // HOT_GROUPS)  # HOT_GROUPS groups at most, which are broadcast
+    crowded = F.broadcast(groups.where(hot))
+    joined = rows.join(crowded, "recipe").unionByName(rows.join(crowded, "recipe", "left_anti").join(groups.where(~hot), "recipe", "left"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     return joined.select("doc_id", keep.alias("keep_id"), size.alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", "n_chunks")
