@@ -6,6 +6,7 @@ right by the longest character n-gram that training saw at that place, then by s
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import held_out, pick, slices
+from sparkloom.llm._common import ascii_lower, held_out, pick, slices
 
 #: Bounds of the model: at most so many documents a language, words and n-grams in all.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, LONGEST = 2000, 6_000_000, 120_000, 60_000, 4
@@ -24,7 +25,7 @@ _RUNS = re.compile(r"[^\W\d_]+")
 #: Up to so many languages, a table of them is broadcast.
 BROADCAST_LANGUAGES = 100_000
 #: Words that a worker remembers.
-MEMO = 200_000
+MEMO = 50_000
 UNDETERMINED = "und"
 
 
@@ -178,21 +179,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_words long")
 
 
-def told(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is found with a score of ``least`` or more."""
+def rejected(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """doc_id, digest of the rows whose language is not found with a score of ``least`` or more, as ``drop_rows`` takes
+    them: the digest is that of the text with A-Z in lower case, its first 32 hex digits."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, MAX_WORDS and MAX_GRAMS
-    names = docs.columns
-    at = names.index("text")
 
     def run(batches):
         teller = _Teller(held.value)
+        out = pa.schema([("doc_id", pa.int64()), ("digest", pa.string())])
         for whole in batches:
-            for batch in slices(whole, f"_c{at}"):
-                good = [lang != UNDETERMINED and score >= least for lang, score, _ in teller.tell(batch.column(at).to_pylist())]
-                yield batch.filter(pa.array(good, pa.bool_()))
+            for batch in slices(whole, "text", 2 << 20):
+                texts = batch.column(1).to_pylist()
+                bad = [i for i, (lang, score, _) in enumerate(teller.tell(texts)) if lang == UNDETERMINED or score < least]
+                digests = [hashlib.sha256(ascii_lower(texts[i])).hexdigest()[:32] for i in bad]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bad, pa.int64())), pa.array(digests, pa.string())], schema=out)
 
-    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return plain.mapInArrow(run, plain.schema).toDF(*names)
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, digest string").distinct()
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

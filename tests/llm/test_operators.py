@@ -44,7 +44,9 @@ def test_columns_are_picked_by_exact_name(spark):
     assert left(spark.createDataFrame([(1, digest(b"a")), (3, digest(b""))], "doc_id long, d string"), "d") == ["b", "c"]
 
 
-def test_exact_dedup(docs_of):
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_exact_dedup(docs_of, monkeypatch, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
     got = by_id(exact_dedup.exact_groups(docs_of(ROWS)), "keep_id", "group_size", "kept")
     want = []
     norm = lambda t: (t or "").encode().lower()
@@ -162,6 +164,8 @@ def test_top_k(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk_search.top_k(few).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk_search.top_k(few.where("vec_id > 5")).count() == 0
+    with pytest.raises(ValueError):
+        topk_search.top_k(spark.createDataFrame([(0, [1e6]), (1, [1.0])], "vec_id long, embedding array<double>"))
 
 
 def test_warc_archives(spark, tmp_path):
@@ -371,9 +375,9 @@ def test_word_first_backoff_by_hand():
 def test_language_stage_keeps_rows_as_they_are(spark, docs_of):
     model = language_id.fit([("en", "the cat and the dog and the cat"), ("de", "der hund und die katze und der hund")])
     df = spark.createDataFrame([(1, "the cat", 1), (1, "the cat", 1), (None, "der hund", 2), (2, None, 3), (3, "123", 4)], "doc_id long, text string, TEXT int")
-    kept = language_id.told(df, model, 0.5)
+    kept = drop_rows(df, language_id.rejected(df, model, 0.5), "digest")
     assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r[1] and r[1] != "123")
-    assert language_id.told(df.limit(0), model, 0.5).count() == 0
+    assert language_id.rejected(df.limit(0), model, 0.5).count() == 0
 
 
 def test_long_texts_are_scanned_in_chunks(docs_of):
