@@ -19,11 +19,11 @@ LEAST_SCORE = 0.5
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose language the model cannot tell; the others stay as they are.
 
-    Every row is judged by its own text, in the pass that writes it: null text goes, a null doc_id, repeated rows and
-    further columns of any name make no difference, an empty table stays empty.
+    Every row is judged by its own text: null text goes, a null doc_id, repeated rows and further columns of any name
+    make no difference, an empty table stays empty.
     """
     model = language_id.train(pick(docs, "doc_id", "text", "lang").where(~held_out(4)))
-    return language_id.told(docs, model, LEAST_SCORE)
+    return drop_rows(docs, written(language_id.rejected(docs, model, LEAST_SCORE), "gone"), "digest")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
