@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import string
 import tempfile
@@ -14,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None)
 #: One word: a run of anything but the six ASCII space characters.  ``bytes.split()`` cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,6 +90,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are kept between stages, and theirs would add up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values of a string column have about ``most`` bytes together (one row at least)."""
     values = batch.column(batch.schema.get_field_index(column))
@@ -100,6 +109,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         total += n
     if begin < len(sizes):
         yield batch.slice(begin)
+    release()
 
 
 def ascii_lower(text: str | None) -> bytes:

@@ -15,7 +15,7 @@ _MUL, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _INV = pow(_MUL, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Distinct words that a worker remembers.
-MEMO = 500_000
+MEMO = 100_000
 
 
 class _Names(dict):
