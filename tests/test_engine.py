@@ -52,10 +52,11 @@ def test_versions_vectors_and_comparison(spark, tmp_path):
     nodes, edges = again.map(symbol="b.js::check")
     assert {r["symbol_id"] for r in nodes.collect()} == {"b.js::check", "b.js::save", "b.js::extra"} and edges.count() == 2
     assert {r["symbol_id"] for r in again.map(file="b.js")[0].collect()} == {"b.js::save", "b.js::check", "b.js::extra"}
-    c = again.compare("who calls check", first["version_key"], "working-tree")
-    assert {(r["symbol_id"], r["change"]) for r in c["symbols"].collect()} == {("b.js::check", "modified"), ("b.js::extra", "added")}
-    assert {r["symbol_id"] for r in c["relevant_symbols"].collect()} <= {"b.js::check", "b.js::extra"}
-    assert [(r["src"], r["change"]) for r in c["edges"].collect()] == [("b.js::extra", "added")]
+    x, y = again.tables(first["version_key"]), again.tables()
+    symbols, calls_ = versions.symbol_changes(x["symbols"], y["symbols"]), versions.edge_changes(x["edges"], y["edges"], ["src", "dst", "edge_type", "expression"])
+    assert {(r["symbol_id"], r["change"]) for r in symbols.collect()} == {("b.js::check", "modified"), ("b.js::extra", "added")}
+    near = versions.relevant_changes(symbols, calls_, spark.createDataFrame([("b.js::extra",)], "symbol_id string"))
+    assert [r["symbol_id"] for r in near[0].collect()] == ["b.js::extra"] and [(r["src"], r["change"]) for r in near[1].collect()] == [("b.js::extra", "added")]
     with pytest.raises(ValueError):
         again.tables("nothing")
     tables = again.tables()
