@@ -97,6 +97,16 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once; its own bound is 64 MB, held by both sides of each task.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """From now on the session of ``df`` hands rows to Python workers by ``BATCH_BYTES``, if it has no bound of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(key, conf.get(key, str(BATCH_BYTES)))
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose values of a string column have about ``most`` bytes together (one row at least)."""
     values = batch.column(batch.schema.get_field_index(column))

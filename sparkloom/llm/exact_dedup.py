@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import ascii_lower, pick, slices, written
+from sparkloom.llm._common import ascii_lower, pick, slices, small_batches, written
 
 #: A cut falls where the rolling hash's low bits are zero: every 2 ** BITS bytes on average.
 BITS, LEAST, MOST, REACH = 11, 1024, 65536, 16
@@ -83,6 +83,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     Chunk identifiers are the first bytes of SHA-256.  One pass over the chunk table verifies that no identifier
     stands for two digests; should that happen, recipes are compared by the full digests instead.
     """
+    small_batches(docs)
     digests = written(pick(docs, "doc_id", "text").mapInArrow(_digests, "doc_id long, text_sha256 string, chunks array<binary>"), "recipes")
     chunk = digests.select(F.explode("chunks").alias("c")).select(F.substring("c", 1, SHORT).alias("short"), "c")
     clash = chunk.groupBy("short").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a != b").limit(1).count()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import ascii_lower, discard, pick, slices, written
+from sparkloom.llm._common import ascii_lower, discard, pick, slices, small_batches, written
 from sparkloom.llm._components import components
 from sparkloom.llm._words import mix, shared, shingle_sets
 
@@ -398,6 +398,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows that repeat a doc_id count as one document (if their texts differ, with the links of all of them); a null
     doc_id takes no part and has a null component.  An empty table gives an empty result.
     """
+    small_batches(docs)
     base = pick(docs, "doc_id", "text")
     sets = written(digests(base), "sets")
     named = sets.where("doc_id is not null and set_key is not null")

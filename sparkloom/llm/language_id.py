@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import ascii_lower, held_out, pick, slices
+from sparkloom.llm._common import ascii_lower, held_out, pick, slices, small_batches
 
 #: Bounds of the model: at most so many documents a language, words and n-grams in all.
 SAMPLE_DOCS, SAMPLE_CHARS, MAX_WORDS, MAX_GRAMS, LONGEST = 2000, 6_000_000, 120_000, 60_000, 4
@@ -166,6 +166,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     without letters, and for everything if the model has no language.  Ties go to the first language in order.
     Nothing but the text is looked at; every row gives one row.
     """
+    small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, MAX_WORDS and MAX_GRAMS
 
     def run(batches):
@@ -182,6 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def rejected(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """doc_id, digest of the rows whose language is not found with a score of ``least`` or more, as ``drop_rows`` takes
     them: the digest is that of the text with A-Z in lower case, its first 32 hex digits."""
+    small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample, MAX_WORDS and MAX_GRAMS
 
     def run(batches):

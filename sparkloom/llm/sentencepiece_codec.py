@@ -19,12 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm._common import pick, slices
+from sparkloom.llm._common import pick, slices, small_batches
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words that a worker remembers, in each of two generations.
-MEMO = 400_000
+MEMO = 150_000
 
 
 class CharacterMap:
@@ -165,30 +165,26 @@ class Codec:
         begin = np.arange(len(chars) + 1)  # where each symbol starts
         begin = begin[:-1]
         seg = np.repeat(np.arange(len(parts)), sizes)
-        done_begin, active = [], True
-        while active and len(sym) > 1:
-            same = (seg[1:] == seg[:-1]) & (sym[1:] >= 0) & (sym[:-1] >= 0)
-            key = np.where(same, sym[:-1] << 32 | sym[1:], -1)
-            place = np.searchsorted(self.keys, key)
-            place[place == len(self.keys)] = 0
-            hit = same & (self.keys[place] == key)
-            if not hit.any():
-                break
-            i = np.flatnonzero(hit)
-            rank, owner = self.ranks[place[i]], seg[i]
-            order = np.lexsort((i, rank, owner))
-            first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
-            at = i[first]  # one merge in each segment: the best score, then the leftmost
-            sym[at] = self.merged[place[at]]
+        done_begin = []
+        rank, merged = self._pairs(sym, seg, np.arange(len(sym)))
+        while len(i := np.flatnonzero(rank >= 0)):
+            owner = seg[i]
+            group = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            # one merge in each segment: the best score, then the leftmost
+            at = np.minimum.reduceat(rank[i] << 32 | i, group) & 0xFFFFFFFF
+            sym[at] = merged[at]
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
             # segments without a merge are finished
             open_ = np.zeros(len(parts), bool)
-            open_[owner[first]] = True
+            open_[owner[group]] = True
             stays = open_[seg]
             done_begin.append(begin[keep & ~stays])
             keep &= stays
-            sym, begin, seg = sym[keep], begin[keep], seg[keep]
+            sym, begin, seg, rank, merged = sym[keep], begin[keep], seg[keep], rank[keep], merged[keep]
+            new = (np.cumsum(keep) - 1)[at]  # only pairs with a merged symbol have changed
+            new = np.concatenate([new, new[new > 0] - 1])
+            rank[new], merged[new] = self._pairs(sym, seg, new)
         done_begin.append(begin)
         cut = np.sort(np.concatenate(done_begin))
         edge = np.append(cut, len(chars)).tolist()
@@ -196,6 +192,16 @@ class Codec:
         split = np.searchsorted(cut, np.concatenate([[0], np.cumsum(sizes)])).tolist()
         return [pieces[a:b] for a, b in zip(split, split[1:], strict=False)]
 
+    def _pairs(self, sym: np.ndarray, seg: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol) of the piece that each symbol at ``at`` makes with the next one of its segment; rank -1: none."""
+        behind = np.minimum(at + 1, len(sym) - 1)
+        left, right = sym[at], sym[behind]
+        same = (behind > at) & (seg[at] == seg[behind]) & (left >= 0) & (right >= 0)
+        key = np.where(same, left << 32 | right, -1)
+        place = np.searchsorted(self.keys, key)
+        place[place == len(self.keys)] = 0
+        return np.where(same & (self.keys[place] == key), self.ranks[place], -1), self.merged[place]
+
     def _with_user(self, part: str) -> list[str]:
         """Merging around user-defined pieces, which stay whole."""
         pattern = re.compile("(" + "|".join(re.escape(u.replace(" ", MARK)) for u in self.user) + ")")
@@ -292,8 +298,9 @@ class Digester:
         # key -> ids of the words met lately, and of those met before that
         self.ids: dict[str, str] = {}
         self.old_ids: dict[str, str] = {}
-        # key -> (first byte, end byte) of its ids from the key's own first byte, as little-endian int32
+        # key -> (first byte, end byte) of its ids from the key's own first byte, as little-endian int32; equal ones are one object
         self.rel: dict[str, bytes] = {}
+        self.same_rel: dict[bytes, bytes] = {}
         self.old_rel: dict[str, bytes] = {}
         self.piece_unit: dict[str, tuple[int, int]] = {}
         #: what words decode to that do not decode to themselves
@@ -359,6 +366,7 @@ class Digester:
             new |= set().union(*parts)
             self.old_ids, self.ids = self.ids, {}
             self.old_rel, self.rel = self.rel, {}
+            self.same_rel = {x: x for x in self.old_rel.values()}
         found = new & self.old_ids.keys()
         self.ids.update(zip(found, map(self.old_ids.__getitem__, found), strict=True))
         self.rel.update(zip(found, map(self.old_rel.__getitem__, found), strict=True))
@@ -373,7 +381,8 @@ class Digester:
                     self.piece_unit[p] = len(ids), len(p.encode("utf-8", "surrogatepass")) - (len(MARK.encode()) - 1) * p.count(MARK)
                     if surface[p] != p.replace(MARK, " "):
                         self.odd_pieces.add(p)
-            self.rel[key] = self.relative(pieces)
+            rel = self.relative(pieces)
+            self.rel[key] = self.same_rel.setdefault(rel, rel)
             self.ids[key] = ",".join([text[p] for p in pieces])
             if self.odd_pieces and not self.odd_pieces.isdisjoint(pieces):
                 decoded = "".join([surface[p] for p in pieces])
@@ -404,6 +413,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     little-endian int32 in order.  Null and empty text have no ids and decode to an empty text.  Every row gives one
     row; nothing is shuffled.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(_model(path))  # the model file's size
 
     def run(batches):
@@ -411,7 +421,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
         schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_sha256", pa.string())])
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 20):
+            for batch in slices(whole, "text", 1 << 18):
                 rows, spans = digester.run_spans(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in spans], pa.string())], schema=schema)
 

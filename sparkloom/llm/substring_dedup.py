@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm._common import pick, slices, written
+from sparkloom.llm._common import pick, slices, small_batches, written
 from sparkloom.llm._words import mix, powers, window_names, words
 
 WINDOW, ROUNDS = 50, 5
@@ -223,6 +223,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A document that repeats the word sequence of a smaller one as a whole loses everything if it is long enough,
     and is left out of all further steps, for what it holds starts in the smaller one too.
     """
+    small_batches(docs)
     base = pick(docs, "doc_id", "text")
 
     def sequence(batches):

@@ -3,10 +3,13 @@
 import hashlib
 from collections import Counter
 
+import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import exact_dedup, jaccard_join, language_id, mixing, ppm_scoring, sentencepiece_codec, substring_dedup, token_counts, topk_search, zip_warc
-from sparkloom.llm._common import drop_rows, pick
+from sparkloom.llm._common import BATCH_BYTES, drop_rows, pick
 
 W = [f"w{i}" for i in range(400)]
 ROWS = [
@@ -407,3 +410,20 @@ def test_mix_takes_the_same_rows_with_all_columns(spark, docs_of, monkeypatch):
         by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
     assert all(abs(target - taken) <= 7 / 2 for target, taken in by.values())
     assert mixing.mixed(docs_of(rows).limit(0), labels).count() == 0
+
+
+def test_texts_go_to_workers_in_small_batches(spark, docs_of):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def most(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    for own in (None, 1 << 20):
+        session = spark.newSession()
+        docs = session.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 6000).alias("text"))  # 18 MB
+        if own:
+            session.conf.set(key, str(own))
+        sentencepiece_codec.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+        got = [r.n for r in docs.mapInArrow(most, "n long").collect()]
+        assert sum(got) > 18_000_000 and max(got) <= (own or BATCH_BYTES) + 64_000

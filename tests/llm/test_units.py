@@ -51,6 +51,21 @@ def test_transducer_states_are_bounded(spec):
     assert c.count(["aaaa bbbb", None]) == [c.count(["aaaa bbbb"])[0], 0]
 
 
+def test_sentencepiece_remembers_equal_spans_once():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec = sentencepiece_codec.Codec(open(path, "rb").read())
+    digester = sentencepiece_codec.Digester(codec, most=400)
+    rnd = random.Random(5)
+    for _ in range(20):
+        texts = [" ".join("".join(rnd.choices("abcdeinorst", k=7)) for _ in range(100))]
+        (row,), (span,) = digester.run_spans(texts)
+        assert row[1] == ",".join(map(str, codec.encode(texts[0]))) and row[2] == texts[0]
+        assert np.frombuffer(span, "<i4").reshape(-1, 2).tolist() == [[a, b] for _, a, b in codec.spans(texts[0])]
+        kept = [*digester.rel.values(), *digester.old_rel.values()]
+        assert len({*map(id, digester.rel.values())}) == len({*digester.rel.values()}) < len(digester.rel)
+        assert len(kept) <= 800 and len({*map(id, kept)}) <= 2 * len({*kept})
+
+
 def test_sentencepiece_like_the_library():
     import sentencepiece
 
