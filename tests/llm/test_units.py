@@ -4,12 +4,13 @@ import random
 import struct
 import zipfile
 from io import BytesIO
+from itertools import product
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from sparkloom.llm import exact_dedup, jaccard_join, language_id, ppm_scoring, sentencepiece_codec, substring_dedup, token_counts, topk_search, zip_warc
+from sparkloom.llm import _words, exact_dedup, jaccard_join, language_id, ppm_scoring, sentencepiece_codec, substring_dedup, token_counts, topk_search, zip_warc
 from sparkloom.llm._words import shared, shingle_sets, words
 
 ALPHABET = [*"abst  \n\t'!1é中² 　.rvelmd▁\x00", "  ", "日本", "🙂", "́", "<|endoftext|>", "'re", "'s", "\r\n", "<s>", "<0x0A>"]
@@ -164,6 +165,18 @@ def test_word_names_follow_content():
     assert shared(sets[0], sets[3]) == 1 and shared(sets[0], sets[1]) == 0
 
 
+def test_short_words_have_names_of_their_own_that_nobody_remembers():
+    _words._names.forget()
+    short = [*{bytes(x) for n in range(3) for x in product(b"\0a\x1c\xff", repeat=n + 1)}, *[b"%d" % i for i in range(30_000)], *[b"a" * i for i in range(4, 16)], b"a" * 14 + b"\0"]
+    one, two, first = words([b" ".join(short)])
+    assert len(_words._names) == 0 and first.tolist() == [0, len(short)]
+    assert len({*one.tolist()}) == len({*two.tolist()}) == len(short)
+    long = [b"a" * 16, b"a" * 15 + b"\0", b"a" * 17]
+    again = words([b"\t" + w + b"\x0b" for w in [*long, *short]])
+    assert again[0][3:].tolist() == one.tolist() and again[1][3:].tolist() == two.tolist() and len(_words._names) == 3
+    assert len({*again[0].tolist()}) == len(short) + 3
+
+
 def test_equal_windows_have_equal_representatives():
     rnd = random.Random(3)
     for _ in range(120):
