@@ -92,3 +92,14 @@ def test_three_runs_are_whole(spark, deep):
 def test_like_duckdb_beyond_a_thousand(spark, deep, name):
     want = duck(deep, plans.SQL[name], "embeddings")
     assert rows(plans.QUERIES[name](spark, deep).toPandas()) == rows(want) and len(want)
+
+
+def test_a_whole_ranking_keeps_the_candidates_of_both_runs(spark):
+    from sparkloom.operators import fusion
+    from sparkloom.settings import Settings
+
+    chunks = spark.createDataFrame([(i, f"n{i}", "function", False) for i in range(6)], "doc_id long, qualified_name string, kind string, is_test boolean")
+    run = lambda ids: spark.createDataFrame([(0, i, 1.0 / (i + 1)) for i in ids], "query_id long, doc_id long, score double")
+    ranked = lambda **more: fusion.rank(spark.createDataFrame([(0, "find it")], "query_id long, query string"), chunks, run([0, 1]), run([2, 3, 4]), "hybrid", settings=Settings(candidates=2), **more)
+    assert {r["doc_id"] for r in ranked(whole=True).collect()} == {0, 1, 2, 3}
+    assert ranked().count() == 2
