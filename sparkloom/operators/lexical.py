@@ -30,11 +30,13 @@ class LexicalIndex:
     def hits(self, terms: DataFrame) -> DataFrame:
         """The postings of query terms (query_id, term, times), with idf, n_docs and avg_len.
 
-        Only postings of query terms leave the scan: the terms, if few, are broadcast to it.
+        Only postings of query terms leave the scan: the terms, if few, are broadcast to it.  They are dealt by document
+        before queries meet them, so that what is summed for a query and a document needs no shuffle of its own.
         """
-        idf = small(self.weights(small(terms.select("term").distinct())))
-        weighted = small(terms.join(idf, "term"))
-        return self.tf.join(weighted, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
+        asked = small(terms.select("term").distinct())
+        weighted = small(terms.join(small(self.weights(asked)), "term"))
+        tf = self.tf.join(asked, "term", "left_semi").repartition("doc_id")
+        return tf.join(weighted, "term").crossJoin(F.broadcast(self.stats))  # stats is one row
 
 
 def build(docs: DataFrame, tokens=code_tokens, text: str = "text", title: str | None = None) -> LexicalIndex:

@@ -103,3 +103,13 @@ def test_a_whole_ranking_keeps_the_candidates_of_both_runs(spark):
     ranked = lambda **more: fusion.rank(spark.createDataFrame([(0, "find it")], "query_id long, query string"), chunks, run([0, 1]), run([2, 3, 4]), "hybrid", settings=Settings(candidates=2), **more)
     assert {r["doc_id"] for r in ranked(whole=True).collect()} == {0, 1, 2, 3}
     assert ranked().count() == 2
+
+
+def test_sums_of_a_document_need_no_shuffle(spark):
+    from sparkloom.operators import lexical
+
+    docs = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma") for i in range(20)], "doc_id long, text string")
+    queries = spark.createDataFrame([(0, "alpha beta1"), (1, "gamma")], "query_id long, query string")
+    found = lexical.grid(lexical.build(docs), queries, [(1.2, 0.5), (1.6, 0.75)])
+    assert found.count() == 80
+    assert "hashpartitioning(query_id" not in found._jdf.queryExecution().executedPlan().toString()
