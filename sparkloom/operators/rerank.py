@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import name_terms, operator_evidence
+from sparkloom.operators._size import small
 
 # fixed values: the features in their order
 FEATURES = ("dense", "word_overlap", "rare_overlap", "identifier_overlap", "number_overlap", "operator_overlap", "document_log_tokens")
@@ -80,8 +81,15 @@ def feature_score(mean: list[float], scale: list[float], coef: list[float]) -> C
     return F.round(out, 9)
 
 
-def keep_tail(run: DataFrame, depth: int = 50, new: str = "new_score") -> DataFrame:
-    """The run with its first ``depth`` rows ordered by the new score and the others as they were."""
+def keep_tail(run: DataFrame, depth: int = 50, new: str = "new_score", head: DataFrame | None = None) -> DataFrame:
+    """The run with its first ``depth`` rows ordered by the new score and the others as they were.
+
+    With ``head``, the first ``depth`` rows of a run whose ranks count from 1 without gaps, only those are sorted.
+    """
+    if head is not None:
+        first = Window.partitionBy("query_id").orderBy(F.desc(new), "rank")
+        tail = run.where(F.col("rank") > depth).withColumn("new_rank", F.col("rank"))
+        return head.withColumn("new_rank", F.row_number().over(first)).unionByName(tail)
     order = Window.partitionBy("query_id").orderBy(F.col("rank") > depth, F.when(F.col("rank") <= depth, -F.col(new)).otherwise(0.0), "rank")
     return run.withColumn("new_rank", F.row_number().over(order))
 
@@ -93,12 +101,12 @@ def margins(run: DataFrame) -> DataFrame:
     return t.where("n = 11").select("query_id", F.round(F.col("a") - F.col("b"), 9).alias("top1_top2"), F.round(F.col("a") - F.col("j"), 9).alias("top1_top10"), F.round(F.col("j") - F.col("k"), 9).alias("top10_top11"))
 
 
-def gated(run: DataFrame, measure: str, threshold: float, depth: int = 50, new: str = "new_score") -> DataFrame:
+def gated(run: DataFrame, measure: str, threshold: float, depth: int = 50, new: str = "new_score", head: DataFrame | None = None) -> DataFrame:
     """keep_tail for queries whose margin is at most the threshold; the others keep their order."""
     if measure not in ("top1_top2", "top1_top10", "top10_top11"):
         raise ValueError(f"unknown measure {measure!r}")
-    m = margins(run).select("query_id", (F.col(measure) <= threshold).alias("triggered"))
-    both = keep_tail(run, depth, new).join(m, "query_id", "left").withColumn("triggered", F.coalesce("triggered", F.lit(False)))
+    m = margins(run if head is None else head).select("query_id", (F.col(measure) <= threshold).alias("triggered"))
+    both = keep_tail(run, depth, new, head).join(small(m), "query_id", "left").withColumn("triggered", F.coalesce("triggered", F.lit(False)))
     return both.withColumn("new_rank", F.when(F.col("triggered"), F.col("new_rank")).otherwise(F.col("rank")))
 
 
