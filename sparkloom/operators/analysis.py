@@ -128,8 +128,14 @@ def standardisation(rows: DataFrame, names: list[str]) -> DataFrame:
 def ranking_checks(run: DataFrame, docs: DataFrame, judged: DataFrame, depth: int) -> DataFrame:
     """One row: queries, mean_depth, missing_queries, repeated, too_deep, unknown_documents; the last four are 0 in a sound run."""
     per = run.groupBy("query_id").agg(F.count("*").alias("n"))
-    again = run.groupBy("query_id", "doc_id").count().where("count > 1").agg(F.count("*").alias("repeated"))
     unknown = run.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").agg(F.count("*").alias("unknown_documents"))
+    return run_checks(per, run, unknown, judged, depth)
+
+
+def run_checks(per: DataFrame, again: DataFrame, unknown: DataFrame, judged: DataFrame, depth: int) -> DataFrame:
+    """The row of ``ranking_checks`` from what its counts need: query_id and n of every query, all rows of a run that could
+    be repeated, and the one row of unknown_documents."""
+    again = again.groupBy("query_id", "doc_id").count().where("count > 1").agg(F.count("*").alias("repeated"))
     missing = judged.select("query_id").distinct().join(per, "query_id", "left_anti").agg(F.count("*").alias("missing_queries"))
     base = per.agg(F.count("*").alias("queries"), F.round(F.avg("n"), 9).alias("mean_depth"), F.count_if(F.col("n") > depth).alias("too_deep"))
     return base.crossJoin(F.broadcast(missing)).crossJoin(F.broadcast(again)).crossJoin(F.broadcast(unknown))  # one row each
