@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.vectors import axpy, dot, unit
+from sparkloom.operators import rankings
 from sparkloom.settings import DEFAULT
 
 
@@ -44,8 +45,7 @@ def best_scores(queries: DataFrame, docs: DataFrame, k: int, threshold: float |
 
 def max_pool(queries: DataFrame, windows: DataFrame) -> DataFrame:
     """query_id, doc_id, score: the best window (doc_id, vector) of each document; -1 for a document without windows."""
-    each = _met(queries, windows.where("vector is not null")).select("query_id", "doc_id", dot(F.col("qvec"), F.col("vector")).alias("s"))
-    best = each.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 9).alias("score"))
+    best = rankings.pooled(queries.select("query_id", F.col("qvec").alias("vector")), windows.where("vector is not null").select("doc_id", "vector"))
     none = windows.groupBy("doc_id").agg(F.count("vector").alias("n")).where("n = 0")
     none = _met(queries.select("query_id"), none).select("query_id", "doc_id", F.lit(-1.0).alias("score"))
     return best.unionByName(none)
