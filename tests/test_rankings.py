@@ -50,7 +50,7 @@ def test_rounding_is_that_of_sums_in_order():
     assert np.isinf(rankings.scaled(q, v, 9)[0, 0]) and np.isnan(rankings.scaled(q, v, 9)[0, 1])
 
 
-IN_BLOCKS = ["first_relevant", "rerank_keeps_tail", "overlap_at_k", "rrf_weighted_sweep", "rank_buckets", "packed_ranks", "dense_maxpool", "metric_summary", "rrf_hybrid", "linear_fusion", "eval_ndcg_exp", "error_rows", "rank_changes", "oracle_ceiling", "hard_negatives", "ranking_checks", "gate_sweep", "gated_rerank", "stable_rank", "dense_prf"]
+IN_BLOCKS = ["distinct_run", "first_relevant", "rerank_keeps_tail", "overlap_at_k", "rrf_weighted_sweep", "rank_buckets", "packed_ranks", "dense_maxpool", "metric_summary", "rrf_hybrid", "linear_fusion", "eval_ndcg_exp", "error_rows", "rank_changes", "oracle_ceiling", "hard_negatives", "ranking_checks", "gate_sweep", "gated_rerank", "stable_rank", "dense_prf"]
 
 
 @pytest.mark.parametrize("name", IN_BLOCKS)
